@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .common import table
+from .language import identify_languages
+from .pieces import piece_digests
 from .url_rules import judge_urls
 
 #: The extra conversation of op1: a user, then an assistant turn, both with this text.
@@ -19,8 +21,16 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(log))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_chat": op1_chat, "op6_sentencepiece": op6_sentencepiece, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
