@@ -9,6 +9,7 @@ from .chat import format_conversations, read_back
 from .common import table
 from .language import identify_languages
 from .pieces import piece_digests
+from .quality import classify_quality
 from .simhash import near_duplicates, shown
 from .url_rules import judge_urls
 
@@ -22,6 +23,10 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(log))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -38,4 +43,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
