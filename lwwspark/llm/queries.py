@@ -11,6 +11,7 @@ from .language import identify_languages
 from .pieces import piece_digests
 from .quality import classify_quality
 from .simhash import near_duplicates, shown
+from .token_scan import count_tokens
 from .url_rules import judge_urls
 
 #: The extra conversation of op1: a user, then an assistant turn, both with this text.
@@ -27,6 +28,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -43,4 +48,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
