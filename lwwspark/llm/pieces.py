@@ -2,15 +2,15 @@
 
 A text is normalised by the longest prefixes of the model's compiled character map (a double-array trie; where the map
 is empty, characters stay as they are), and every normalised byte keeps the place of the source byte it came from. The
-normalised text is cut where no piece can reach across, each distinct cut is merged once (best score first, leftmost on
-ties), and its ids and piece bounds are looked up from then on, for a whole batch at a time. Bounds are projected through
-the alignment, so every piece has its span of source bytes.
+normalised text is cut where no piece can reach across, cuts are merged (best score first, leftmost on ties), and the ids
+of those met lately are looked up. The pieces tile the normalised text; their bounds are projected through the
+alignment, so every piece has its span of source bytes.
 
 The vocabulary is only read. ``model`` is a path that executors can open, or None for the public 32k piece model that is
 installed with every worker.
 
 Defined results: null texts are empty; an empty text has the end id alone. Every text is encoded whole, whatever its
-length. Repeated rows get equal results. No shuffle; a worker's table of cuts is bounded by ``CUTS``.
+length. Repeated rows get equal results. No shuffle; a worker's table of cuts is bounded by twice ``CUTS``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CUTS = 150_000
+CUTS, LONGEST_KEPT = 250_000, 256
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types
 
 
@@ -158,92 +158,93 @@ class Model:
 
 
 class Encoder:
-    """Encodes batches of texts. ``ids``, ``starts`` and ``ends`` hold the pieces of all cuts met so far."""
+    """Encodes texts; the ids of cuts are kept in two generations, so that cuts met once go and common ones stay."""
 
     def __init__(self, model: Model):
         if not any(t == BYTE for _, _, t in model.pieces) or any(t in (USER_DEFINED, UNUSED) for _, _, t in model.pieces):
             raise ValueError("only models with byte pieces, and without user-defined or unused ones, are supported")
         self.model = model
-        self.rank = {p: (-s, i) for i, (p, s, t) in enumerate(model.pieces) if t == NORMAL}
+        self.id = {p: i for i, (p, _, t) in enumerate(model.pieces) if t == NORMAL}
+        order = {s: k for k, s in enumerate(sorted({s for _, s, _ in model.pieces}, reverse=True))}
+        self.rank = {p: order[s] for p, s, t in model.pieces if t == NORMAL}  # least first
+        self.never = len(order)
         self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(model.pieces) if t == BYTE}
         self.end = next(i for i, (p, _, t) in enumerate(model.pieces) if t == CONTROL and p == "</s>")
-        inner = {c for p in self.rank if len(p) > 1 for c in p}
-        reach = any(SPACE in p.lstrip(SPACE) for p in self.rank)
+        self.width = np.array([1 if t == BYTE else len(p.encode()) if t == NORMAL else 0 for p, _, t in model.pieces], np.int32)
+        inner = {c for p in self.id if len(p) > 1 for c in p}
+        reach = any(SPACE in p.lstrip(SPACE) for p in self.id)
         line = "" if "\n" in inner else "\n"
         # A cut: spaces and what follows them; a line end stands alone if no piece joins it to anything.
         self.cut = re.compile(r"(?s).+" if reach else f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + ("|\n" if line else ""))
-        self.clear()
-
-    def clear(self):
-        self.table: dict[str, int] = {}
-        self.shown: list[str] = []
-        self.size = np.zeros(1024, np.int64)  # bytes of a cut
-        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.flat, self.used = np.zeros((3, 8192), np.int32), 0
-
-    def merge(self, cut: str) -> list[tuple[int, int, int]]:
-        """(id, start, end) of a cut's pieces, in normalised bytes."""
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def merge(self, cut: str) -> list[str]:
+        """Best pair first, leftmost on ties, until none is a piece."""
+        if len(cut) > 64:
+            return self.merge_long(cut)
+        s, rank, never = list(cut), self.rank.get, self.never
+        r = [rank(a + b, never) for a, b in zip(s, s[1:], strict=False)]
+        while r and (best := min(r)) < never:
+            i = r.index(best)
+            s[i] += s.pop(i + 1)
+            del r[i]
+            if i:
+                r[i - 1] = rank(s[i - 1] + s[i], never)
+            if i < len(r):
+                r[i] = rank(s[i] + s[i + 1], never)
+        return s
+
+    def merge_long(self, cut: str) -> list[str]:
+        """The same with a heap, for cuts of any length."""
         left, right = list(range(-1, len(cut) - 1)), [*range(1, len(cut)), -1]
-        symbol: list[str | None] = list(cut)
+        s: list[str | None] = list(cut)
         heap: list = []
 
         def offer(a, b):
-            if a >= 0 and b >= 0 and (hit := self.rank.get(symbol[a] + symbol[b])):
-                heapq.heappush(heap, (hit[0], a, b, symbol[a], symbol[b]))
+            if a >= 0 and b >= 0 and (hit := self.rank.get(s[a] + s[b])) is not None:
+                heapq.heappush(heap, (hit, a, b, s[a], s[b]))
 
         for i in range(len(cut) - 1):
             offer(i, i + 1)
         while heap:
             _, a, b, x, y = heapq.heappop(heap)
-            if symbol[a] != x or symbol[b] != y or right[a] != b:
+            if s[a] != x or s[b] != y or right[a] != b:
                 continue
-            symbol[a], symbol[b] = x + y, None
+            s[a], s[b] = x + y, None
             right[a] = right[b]
             if right[b] >= 0:
                 left[right[b]] = a
             offer(left[a], a)
             offer(a, right[a])
-        out, at = [], 0
-        for s in symbol:
-            if s is None:
-                continue
-            raw = s.encode()
-            if hit := self.rank.get(s):
-                out.append((hit[1], at, at + len(raw)))
-            else:
-                out += [(self.byte[b], at + k, at + k + 1) for k, b in enumerate(raw)]
-            at += len(raw)
-        return out
-
-    def learn(self, cut: str) -> int:
-        got, k = self.merge(cut), len(self.table)
-        self.table[cut] = k
-        self.shown.append(" ".join(str(i) for i, _, _ in got))
-        if k >= len(self.size):
-            self.size, self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.first, self.count))
-        while self.used + len(got) > self.flat.shape[1]:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)], axis=1)
-        self.size[k], self.first[k], self.count[k] = len(cut.encode()), self.used, len(got)
-        self.flat[:, self.used : self.used + len(got)] = np.array(got, np.int32).T
-        self.used += len(got)
-        return k
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """ids, and starts and ends in source bytes, with the end id; and the ids in decimals."""
+        return [x for x in s if x is not None]
+
+    def learn(self, cut: str) -> bytes:
+        if (known := self.old.get(cut)) is None:
+            ids = []
+            for s in self.merge(cut):
+                k = self.id.get(s)
+                ids += [k] if k is not None else [self.byte[b] for b in s.encode()]
+            known = struct.pack(f"={len(ids)}i", *ids)
+        if len(cut) <= LONGEST_KEPT:
+            self.new[cut] = known
+        return known
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, starts and ends in source bytes; the last is the end id, with an empty span."""
         norm, align = self.model.normalise(text)
-        if len(self.table) > CUTS:
-            self.clear()
-        get, learn = self.table.get, self.learn
-        at = [k if (k := get(c)) is not None else learn(c) for c in self.cut.findall(norm)]
-        shown = " ".join([*map(self.shown.__getitem__, at), str(self.end)])
-        at = np.array(at, np.int64)
-        count, size = self.count[at], self.size[at]
-        total = int(count.sum())
-        pick = np.repeat(self.first[at] - (np.cumsum(count) - count), count) + np.arange(total)
-        ids, start, end = self.flat[:, pick]
-        base = np.repeat(np.cumsum(size) - size, count)
-        last = align[-1:]
-        return np.append(ids, np.int32(self.end)), np.append(align[base + start], last), np.append(align[base + end], last), shown
+        if len(self.new) > CUTS:
+            self.old, self.new = self.new, {}
+        cuts = self.cut.findall(norm)
+        got = list(map(self.new.get, cuts))
+        if None in got:
+            learn = self.learn
+            got = [learn(c) if v is None else v for v, c in zip(got, cuts, strict=True)]
+        ids = np.frombuffer(b"".join(got) + struct.pack("=i", self.end), np.int32)
+        # The pieces tile the normalised text.
+        width = self.width[ids]
+        end = np.cumsum(width)
+        return ids, align[end - width], align[end]
 
 
 _KEPT: dict[str, tuple] = {}
@@ -278,11 +279,13 @@ def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_source_bytes bigint")
     def run(batch: pa.Array) -> pa.Array:
         encoder, decoder = tools(model)
+        decimals = [str(i) for i in range(len(encoder.model.pieces))]
         rows = []
         for t in batch:
-            ids, starts, ends, shown = encoder.encode(t.as_py() or "")
-            decoded = decoder.decode(ids.tolist())
-            rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int((ends - starts).sum())))
+            array, starts, ends = encoder.encode(t.as_py() or "")
+            ids = array.tolist()
+            decoded = decoder.decode(ids)
+            rows.append((len(ids), hashlib.sha256(" ".join(map(decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int((ends - starts).sum())))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 4
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"])
