@@ -12,6 +12,7 @@ from .pieces import piece_digests
 from .quality import classify_quality
 from .simhash import near_duplicates, shown
 from .token_scan import count_tokens
+from .top_k import exact_top_k
 from .url_rules import judge_urls
 
 #: The extra conversation of op1: a user, then an assistant turn, both with this text.
@@ -40,6 +41,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -48,4 +53,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op7_top_k": op7_top_k, "op9_language": op9_language, "op10_url_filter": op10_url_filter}

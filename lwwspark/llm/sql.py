@@ -41,4 +41,16 @@ select page_id, host, path, rule, case rule {" ".join(verdicts)} else case when
 
 OP10 = _op10()
 
-ORACLE_SQL = {"op1_chat": OP1, "op10_url_filter": OP10}
+OP7 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id as vec_id,
+    cast(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
+ORACLE_SQL = {"op1_chat": OP1, "op7_top_k": OP7, "op10_url_filter": OP10}
