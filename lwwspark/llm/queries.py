@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .chat import format_conversations, read_back
 from .common import table
+from .embed_dedup import near_vectors
 from .language import identify_languages
 from .pieces import piece_digests
 from .quality import classify_quality
@@ -37,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"))
 
@@ -53,4 +58,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op6_sentencepiece": op6_sentencepiece, "op7_top_k": op7_top_k, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_embeddings": op5_embeddings, "op6_sentencepiece": op6_sentencepiece, "op7_top_k": op7_top_k, "op9_language": op9_language, "op10_url_filter": op10_url_filter}

@@ -41,6 +41,23 @@ select page_id, host, path, rule, case rule {" ".join(verdicts)} else case when
 
 OP10 = _op10()
 
+OP5 = """
+with recursive v as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (
+  select vec_id as node, vec_id as seen from embeddings
+  union select r.node, l.b from reach r join links l on l.a = r.seen),
+c as (select node, min(seen) as component_id from reach group by node),
+n as (select a as node, count(*) as n from links group by a)
+select e.vec_id, coalesce(n.n, 0) as n_links, c.component_id, e.vec_id = c.component_id as kept
+from embeddings e join c on c.node = e.vec_id left join n on n.node = e.vec_id
+"""
+
 OP7 = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as q from embeddings
@@ -53,4 +70,4 @@ r as (select *, cast(row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
-ORACLE_SQL = {"op1_chat": OP1, "op7_top_k": OP7, "op10_url_filter": OP10}
+ORACLE_SQL = {"op1_chat": OP1, "op5_embeddings": OP5, "op7_top_k": OP7, "op10_url_filter": OP10}
