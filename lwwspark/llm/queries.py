@@ -9,6 +9,7 @@ from .chat import format_conversations, read_back
 from .common import table
 from .embed_dedup import near_vectors
 from .language import identify_languages
+from .mixing import TARGETS, labelled_domains, mix
 from .pieces import piece_digests
 from .quality import classify_quality
 from .simhash import near_duplicates, shown
@@ -50,6 +51,10 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), labelled_domains(table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -58,4 +63,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_embeddings": op5_embeddings, "op6_sentencepiece": op6_sentencepiece, "op7_top_k": op7_top_k, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
+QUERIES = {"op1_chat": op1_chat, "op2_quality": op2_quality, "op3_token_counts": op3_token_counts, "op4_simhash": op4_simhash, "op5_embeddings": op5_embeddings, "op6_sentencepiece": op6_sentencepiece, "op7_top_k": op7_top_k, "op8_mixing": op8_mixing, "op9_language": op9_language, "op10_url_filter": op10_url_filter}
