@@ -8,7 +8,7 @@ and moves every rate by its own posteriors' share of the gradient.
 
 DataFrame functions only: words are looked up with higher-order functions inside the row, so texts are neither exploded
 nor shuffled; steps run over a narrow checkpointed table; the driver sees K sums a step and the bounded table of word
-weights (``BUCKETS`` by K). Rates follow from a row's posteriors and the steps' gradients, so no join brings them back.
+weights (``BUCKETS`` by K).
 
 Fitting uses at most about ``LABELLED`` labelled rows, those with the smallest hashes of their ids.
 
@@ -41,9 +41,9 @@ def places(words: Column) -> Column:
     return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"))
 
 
-def literal(values) -> Column:
+def literal(values, digits: str = ".4f") -> Column:
     """A constant array; folded once when the plan is made."""
-    return F.split(F.lit(",".join(f"{v:.4f}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(",".join(format(float(v), digits) for v in values)), ",").cast("array<double>")
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -87,55 +87,53 @@ def _softmax(rows: DataFrame, logits: str, out: list[str]) -> DataFrame:
     return rows.withColumns({c: p / total for c, p in zip(out, parts, strict=True)})
 
 
-class Descent:
-    """The steps taken so far: a row's rate is a fold over them."""
+def stepped(rows: DataFrame, p: list[str], steps: list[tuple[np.ndarray, float]]) -> DataFrame:
+    """Columns rate and lead after further steps (gradient by domain, momentum), as one fold in the row."""
+    k = len(p)
+    if not steps:
+        return rows
+    flat = literal([x for gradient, momentum in steps for x in (*gradient, momentum)], ".17g")
 
-    def __init__(self, p: list[str]):
-        self.p, self.steps = p, []
+    def step(s, t):
+        at = lambda j: F.element_at(flat, t * (k + 1) + j + 1)
+        move = F.col(p[0]) * at(0)
+        for j in range(1, k):
+            move = move + F.col(p[j]) * at(j)
+        new = F.greatest(F.lit(0.0), s["lead"] - move)
+        return F.struct(new.alias("rate"), (new + (new - s["rate"]) * at(k)).alias("lead"))
 
-    def apply(self, rows: DataFrame, rate: str, lead: str, steps: list | None = None) -> DataFrame:
-        for gradient, momentum in self.steps if steps is None else steps:
-            move = F.lit(0.0)
-            for c, g in zip(self.p, gradient, strict=True):
-                move = move + F.col(c) * float(g)
-            new = F.greatest(F.lit(0.0), F.col(lead) - move)
-            rows = rows.withColumns({rate: new, lead: new + (new - F.col(rate)) * float(momentum)})
-        return rows
+    folded = F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.struct("rate", "lead"), step)
+    return rows.withColumn("state", folded).withColumns({"rate": F.col("state.rate"), "lead": F.col("state.lead")}).drop("state")
 
 
-def solve(table: DataFrame, p: list[str], words: str, goal: np.ndarray) -> tuple[Descent, DataFrame]:
+def solve(table: DataFrame, p: list[str], words: str, goal: np.ndarray) -> DataFrame:
     """Runs the descent over a narrow table (words, p...); ``goal``: each domain's share. Adds column rate."""
     k = len(p)
     weighted = lambda c: F.sum(F.col(words) * c)
     first = table.agg(*(weighted(F.col(a) * F.col(b)) for a in p for b in p), F.sum(words)).first()
     total = float(first[-1] or 0)
-    descent = Descent(p)
     state = table.withColumns({"rate": F.lit(1.0), "lead": F.lit(1.0)})
     if not total:
-        return descent, state.drop("lead")
+        return state.drop("lead")
     gram = np.array(first[:-1], float).reshape(k, k) / total
     size = float(np.linalg.eigvalsh(gram).max())
     age, before, pending = 1.0, math.inf, []
     for step in range(STEPS):
-        sums = descent.apply(state, "rate", "lead", pending).agg(*(weighted(F.col("lead") * F.col(c)) for c in p)).first()
+        sums = stepped(state, p, pending).agg(*(weighted(F.col("lead") * F.col(c)) for c in p)).first()
         gap = np.array(sums, float) / total - goal
         error = float(np.abs(gap).max())
         if error < NEAR:
             # The rates themselves, not the points they lead to, must be near: take the lead as the last step.
-            move = (np.zeros(k), 0.0)
-            descent.steps.append(move)
-            pending.append(move)
+            pending.append((np.zeros(k), 0.0))
             break
         if error > before:
             age = 1.0
         new = (1 + math.sqrt(1 + 4 * age * age)) / 2
-        move = (gap / size, (age - 1) / new)
+        pending.append((gap / size, (age - 1) / new))
         age, before = new, error
-        descent.steps.append(move)
-        pending.append(move)
         if len(pending) == 12 and step < STEPS - 1:
-            state, pending = cut(descent.apply(state, "rate", "lead", pending)), []
-    return descent, descent.apply(state, "rate", "lead", pending).drop("lead")
+            state, pending = cut(stepped(state, p, pending)), []
+    return stepped(state, p, pending).drop("lead")
 
 
 def goal_of(targets: Mapping[str, float]) -> tuple[list[str], np.ndarray]:
@@ -152,33 +150,36 @@ def copies_of(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
 
 
+def rated(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str, text: str) -> tuple[list[str], DataFrame]:
+    """(posterior columns, doc_id, text_hash, n_words, posteriors, rate of every document)."""
+    domains, goal = goal_of(targets)
+    prior, odds = learn(docs, labelled, domains, doc_id, text)
+    p = [f"p{i}" for i in range(len(domains))]
+    n, logits = posteriors(F.col(text), prior, odds)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), n.alias("n_words"), logits.alias("logits"))
+    table = cut(_softmax(rows, "logits", p).drop("logits"))
+    return p, solve(table, p, "n_words", goal)
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, posteriors (by domain name, sorted), rate, copies for every document.
 
     ``labelled``: doc_id and domain. ``targets``: the weight of each domain in the mixture, which has as many words as docs.
     """
-    domains, goal = goal_of(targets)
-    prior, odds = learn(docs, labelled, domains, doc_id, text)
-    p = [f"p{i}" for i in range(len(domains))]
-    n, logits = posteriors(F.col(text), prior, odds)
-    rows = _softmax(docs.select(F.col(doc_id).alias("doc_id"), n.alias("n_words"), logits.alias("logits")), "logits", p)
-    table = cut(rows.select("doc_id", "n_words", *p))
-    _, rated = solve(table, p, "n_words", goal)
-    return rated.select("doc_id", "n_words", F.array(*p).alias("posteriors"), "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
+    p, rows = rated(docs, labelled, targets, doc_id, text)
+    return rows.select("doc_id", "n_words", F.array(*p).alias("posteriors"), "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float]) -> DataFrame:
     """The documents, each as often as its copies say. Columns stay."""
-    domains, goal = goal_of(targets)
-    prior, odds = learn(docs, labelled, domains, "doc_id", "text")
-    p = [fresh(docs, f"mix_p{i}") for i in range(len(domains))]
-    w, x, rate, lead, each = (fresh(docs, f"mix_{c}") for c in ("words", "logits", "rate", "lead", "copy"))
-    n, logits = posteriors(F.col("text"), prior, odds)
-    rows = _softmax(docs.withColumns({w: n, x: logits}), x, p)
-    descent, _ = solve(cut(rows.select(w, *p)), p, w, goal)
-    rated = descent.apply(rows.withColumns({rate: F.lit(1.0), lead: F.lit(1.0)}), rate, lead)
-    copies = copies_of(F.col(rate), F.col("doc_id"))
-    return rated.where(copies > 0).withColumn(each, F.explode(F.sequence(F.lit(1), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    of, text_hash, copies, each = (fresh(docs, f"mix_{c}") for c in ("id", "hash", "copies", "copy"))
+    rows = rated(docs, labelled, targets, "doc_id", "text")[1]
+    # Copies follow from id and text, so repeated rows share an entry.
+    found = rows.select(F.col("doc_id").alias(of), F.col("text_hash").alias(text_hash), copies_of(F.col("rate"), F.col("doc_id")).alias(copies))
+    found = cut(found.groupBy(of, text_hash).agg(F.max(copies).alias(copies)))
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(text_hash))
+    kept = docs.join(found.where(F.col(copies) > 0), same)
+    return kept.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: Production parameters.

@@ -273,10 +273,11 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return out.select("doc_id", "x.*")
 
 
-def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and n_source_bytes, the bytes that the pieces' spans cover."""
+def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_source_bytes (that the pieces' spans cover), and ids if asked for."""
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"] + ["ids"] * with_ids
 
-    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_source_bytes bigint")
+    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_source_bytes bigint" + ", ids array<int>" * with_ids)
     def run(batch: pa.Array) -> pa.Array:
         encoder, decoder = tools(model)
         decimals = [str(i) for i in range(len(encoder.model.pieces))]
@@ -284,11 +285,11 @@ def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         for t in batch:
             array, starts, ends = encoder.encode(t.as_py() or "")
             ids = array.tolist()
-            decoded = decoder.decode(ids)
-            rows.append((len(ids), hashlib.sha256(" ".join(map(decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), int((ends - starts).sum())))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"])
+            digest = hashlib.sha256(" ".join(map(decimals.__getitem__, ids)).encode()).hexdigest()
+            rows.append((len(ids), digest, hashlib.sha256(decoder.decode(ids).encode()).hexdigest(), int((ends - starts).sum()), array))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())]
+        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)][: len(names)], names)
 
     out = docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("x"))
     return out.select("doc_id", "x.*")
