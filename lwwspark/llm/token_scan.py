@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .common import cut, remove, scratch
 
 SEPARATOR = 50_256
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 _KEPT: dict[str, object] = {}
 
 
@@ -66,9 +66,10 @@ def write_token_files(docs: DataFrame, path: str, text: str = "text", ranks: str
 def blocks_of(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """file, block, tokens (binary) of all files under a path."""
     size = 2 * block_tokens
-    files = spark.read.format("binaryFile").load(path).where("length > 1").select("path", "content", (F.col("length") - F.col("length") % 2).alias("length"))
+    files = spark.read.format("binaryFile").load(path).where("length > 1").select("path", "content", "length")
     at = F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(size).cast("bigint"))
-    cuts = files.select("path", F.posexplode(F.transform(at, lambda i: F.substring(F.substring("content", 1, F.col("length").cast("int")), (i + 1).cast("int"), F.lit(size)))).alias("block", "tokens"))
+    starts = files.select("path", "content", F.posexplode(at).alias("block", "at"))
+    cuts = starts.select("path", "block", F.substring("content", (F.col("at") + 1).cast("int"), F.lit(size)).alias("tokens"))
     return cuts.select(F.col("path").alias("file"), "block", "tokens")
 
 
@@ -79,7 +80,7 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, block_tokens: int = BLOC
         for batch in batches:
             size, found = [], []
             for raw in batch.column(2):
-                ids = np.frombuffer(raw.as_buffer(), "<u2")
+                ids = np.frombuffer(raw.as_buffer(), "<u2", len(raw.as_buffer()) // 2)
                 size.append(len(ids))
                 found.append(np.flatnonzero(ids == separator).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(found, pa.list_(pa.int32()))], ["file", "block", "size", "found"])
