@@ -105,15 +105,18 @@ class CrossParser:
         for lang in self.langs:
             codes = self.codes(samples[lang])
             go = suffix_automaton(codes.tolist())
-            root = np.full(self.width, 0, np.int64)
+            # One more state: after a character that the sample lacks, which is a phrase of its own.
+            alone = len(go)
+            begin = np.full(self.width, base + alone * self.width, np.int64)
             for c, to in go[0].items():
-                root[c] = to
-            # A negative entry, ~target, ends a phrase; targets are places of a state's row in the joint table.
-            t = np.tile(~(base + root * self.width), (len(go), 1))
+                begin[c] = base + to * self.width
+            # A negative entry, ~target, ends a phrase; targets are places of a state's row in the joint table. Only the
+            # root, where a walk starts, begins a phrase without ending one.
+            t = np.tile(~begin, (len(go) + 1, 1))
+            t[0] = begin
             for s, step in enumerate(go):
                 for c, to in step.items():
                     t[s, c] = base + to * self.width
-            t[:, 0] = ~base
             tables.append(t.astype(np.int32).ravel())
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(codes))))
