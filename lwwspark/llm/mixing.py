@@ -3,8 +3,8 @@
 A naive Bayes classifier over hashed words, learned from a table that labels some documents with a domain, gives each
 document posteriors p over the domains; a document of n words counts n * p words towards them. Then projected gradient
 descent (accelerated, restarted when it stops helping) minimises the squared distance of the domains' expected totals
-from their targets over nonnegative rates, starting from 1 for every document. Each step sums K numbers over the table
-and moves every rate by its own posteriors' share of the gradient.
+from their targets, weighted by the inverse Gram matrix of the posteriors, over nonnegative rates, starting from 1 for
+every document. Each step sums K numbers over the table and moves every rate by its posteriors' share of the gradient.
 
 DataFrame functions only: words are looked up with higher-order functions inside the row, so texts are neither exploded
 nor shuffled; steps run over a narrow checkpointed table; the driver sees K sums a step and the bounded table of word
@@ -115,21 +115,24 @@ def solve(table: DataFrame, p: list[str], words: str, goal: np.ndarray) -> DataF
     state = table.withColumns({"rate": F.lit(1.0), "lead": F.lit(1.0)})
     if not total:
         return state.drop("lead")
+    # Distances between totals are taken in the metric of the inverse Gram matrix of the posteriors: the same rates reach
+    # targets that can be reached, and where no rate is held at zero one step of length one gets there.
     gram = np.array(first[:-1], float).reshape(k, k) / total
-    size = float(np.linalg.eigvalsh(gram).max())
-    age, before, pending = 1.0, math.inf, []
+    metric = np.linalg.inv(gram + 1e-3 * np.trace(gram) * np.eye(k))
+    age, before, pending, seen = 1.0, math.inf, [], []
     for step in range(STEPS):
         sums = stepped(state, p, pending).agg(*(weighted(F.col("lead") * F.col(c)) for c in p)).first()
         gap = np.array(sums, float) / total - goal
         error = float(np.abs(gap).max())
-        if error < NEAR:
+        seen.append(error)
+        if error < NEAR or len(seen) > 5 and error > 0.99 * seen[-6]:  # there, or as far as least squares goes
             # The rates themselves, not the points they lead to, must be near: take the lead as the last step.
             pending.append((np.zeros(k), 0.0))
             break
         if error > before:
             age = 1.0
         new = (1 + math.sqrt(1 + 4 * age * age)) / 2
-        pending.append((gap / size, (age - 1) / new))
+        pending.append((metric @ gap, (age - 1) / new))
         age, before = new, error
         if len(pending) == 12 and step < STEPS - 1:
             state, pending = cut(stepped(state, p, pending)), []
