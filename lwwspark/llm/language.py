@@ -8,8 +8,11 @@ Greedy parsing with a suffix automaton is itself a finite automaton: where no tr
 walk goes on from the root. So each language becomes one dense transition table, and a whole batch of documents is
 walked at once, one step for all its segments. Texts are parsed whole, in segments of ``SEGMENT`` characters.
 
-Fitting: the sample of a language is at most ``SAMPLE_ROWS`` documents, those with the smallest hash of their id, and
-``SAMPLE_CHARS`` characters. Only these bounded samples are collected or sent to executors. Rows whose
+Case doesn't count, and any run of characters that aren't letters counts as one separator, so what junk a text holds says
+nothing about its language.
+
+Fitting: the sample of a language is ``PIECE`` characters from the middle of at most ``SAMPLE_ROWS`` documents, those with
+the smallest hash of their id; many documents, so that no single one stamps it. Only these bounded samples are collected or sent to executors. Rows whose
 crc32(id) mod 4 is 2, or whose id, language or text is null, are never learned from. Scoring has no shuffle.
 
 Defined results: null texts, empty texts and texts without a letter get ``und`` and 0; so do all if nothing can be
@@ -29,8 +32,7 @@ from pyspark.sql.window import Window
 
 from .common import fold_of, fresh
 
-SAMPLE_ROWS = 64
-SAMPLE_CHARS = 24_000
+SAMPLE_ROWS, PIECE = 128, 250
 SEGMENT = 256
 ALPHABET = 250
 LANES = 16_384
@@ -50,12 +52,13 @@ def learn_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     for name, n in counts.items():
         reach = F.when(F.col("lang") == name, F.lit(-(2.0**63) + 2.0**64 * min(1.0, 4 * SAMPLE_ROWS / n))).otherwise(reach)
     first = Window.partitionBy("lang").orderBy("order", "text")
-    near = rows.where(F.col("order").cast("double") <= reach).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    middle = F.greatest(F.lit(1), F.floor((F.length("text") - PIECE) / 2).cast("int"))
+    near = rows.where(F.col("order").cast("double") <= reach).withColumn("text", F.col("text").substr(middle, F.lit(PIECE)))
     best = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_ROWS)
     texts: dict[str, list] = {}
     for r in best.select("lang", "rank", "text").collect():
         texts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(v))[:SAMPLE_CHARS] for k, v in sorted(texts.items())}
+    return {k: "\n".join(t for _, t in sorted(v)) for k, v in sorted(texts.items())}
 
 
 def suffix_automaton(codes) -> list[dict[int, int]]:
@@ -93,17 +96,17 @@ class CrossParser:
         self.langs = sorted(samples)
         seen = Counter()
         for t in samples.values():
-            seen.update(t.lower())
+            seen.update(c for c in t.lower() if c.isalpha())
         letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.width = len(letters) + 1  # code 0: any other character
-        self.code = np.zeros(0x110000, np.uint8)
-        for i, c in enumerate(letters, 1):
+        self.width = len(letters) + 2  # code 0: other letters; 1: what isn't a letter
+        self.code = np.fromiter((not chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+        for i, c in enumerate(letters, 2):
             for form in {c, c.upper()}:
                 if len(form) == 1:
                     self.code[ord(form)] = i
         tables, self.roots, self.bits, base = [], [], [], 0
         for lang in self.langs:
-            codes = self.codes(samples[lang])
+            codes, _ = self.codes([samples[lang]])
             go = suffix_automaton(codes.tolist())
             # One more state: after a character that the sample lacks, which is a phrase of its own.
             alone = len(go)
@@ -124,13 +127,18 @@ class CrossParser:
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bits = np.array(self.bits)
 
-    def codes(self, text: str) -> np.ndarray:
-        return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-
-    def phrases(self, texts: list[str]) -> np.ndarray:
-        """Phrases of each text (not empty) in each language."""
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        codes = self.codes("".join(texts))
+    def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all texts together, runs of separators as one, and each text's number of them."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes = self.code[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        keep = np.ones(len(codes), bool)
+        keep[1:] = (codes[1:] != 1) | (codes[:-1] != 1)
+        keep[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        return codes[keep], np.diff(np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(sizes)])])
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases of each text, none empty, in each language; its characters)."""
+        codes, lengths = self.codes(texts)
         lanes = -(-lengths // SEGMENT)
         first = np.cumsum(lanes) - lanes
         nth = np.arange(lanes.sum()) - np.repeat(first, lanes)
@@ -139,7 +147,7 @@ class CrossParser:
         counts = np.empty((len(self.langs), len(size)), np.int64)
         for a in range(0, len(size), LANES):
             counts[:, a : a + LANES] = self._walk(codes, start[a : a + LANES], size[a : a + LANES])
-        return np.add.reduceat(counts, first, axis=1).T
+        return np.add.reduceat(counts, first, axis=1).T, lengths
 
     def _walk(self, codes, start, size) -> np.ndarray:
         order = np.argsort(-size, kind="stable")
@@ -161,8 +169,8 @@ class CrossParser:
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
         at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
         if at:
-            n = np.array([len(texts[i]) for i in at])
-            bits = self.phrases([texts[i] for i in at]) * self.bits / n[:, None]
+            counts, n = self.phrases([texts[i] for i in at])
+            bits = counts * self.bits / n[:, None]
             best = bits.argmin(axis=1)
             sharp = np.minimum(n, 64)[:, None] * (bits - bits[np.arange(len(at)), best][:, None])
             scores[at] = 1 / np.exp2(-np.minimum(sharp, 500)).sum(axis=1)
