@@ -34,7 +34,7 @@ BUCKETS, LABELLED, EVIDENCE, STEPS, NEAR = 8192, 12_000, 100, 60, 1e-4
 
 def words_of(text: Column) -> Column:
     """Words between blanks and line ends; none for null and empty texts."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \n]"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \n]"), "")
 
 
 def places(words: Column) -> Column:
@@ -47,7 +47,7 @@ def literal(values, digits: str = ".4f") -> Column:
 
 
 def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(log prior by domain, log odds by domain and bucket against the mean of all domains)."""
+    """(log prior by domain, log odds by domain and bucket against the first domain)."""
     k = len(domains)
     order = F.xxhash64("id").cast("double")
     known = labelled.select(F.col(doc_id).alias("id"), F.col("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(domains)).distinct()
@@ -64,14 +64,14 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str,
         counts[domains.index(r["domain"]), r["at"] - 1] = r["n"]
     smooth = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
     odds = np.log(smooth)
-    return prior, odds - odds.mean(axis=0)
+    return prior, odds - odds[0]
 
 
 def posteriors(text: Column, prior: np.ndarray, odds: np.ndarray) -> tuple[Column, Column]:
     """(number of words, array of log posteriors, not yet normalised); evidence counts as that of ``EVIDENCE`` words at most, so they stay soft."""
     at = places(words_of(text))
     total = lambda table: F.aggregate(at, F.lit(0.0), lambda s, i: s + F.element_at(table, i))
-    sums = [total(literal(o)) for o in odds]
+    sums = [F.lit(0.0), *(total(literal(o)) for o in odds[1:])]
     n = F.size(at)
     share = F.least(n, F.lit(EVIDENCE)) / F.greatest(n, F.lit(1))
     logits = F.array(*(F.lit(float(p)) + s * share for p, s in zip(prior, sums, strict=True)))
