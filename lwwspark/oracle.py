@@ -87,7 +87,26 @@ def _history() -> str:
 _NULLS = [f"(select id, case when cast(id as bigint) % {m} = 0 then null when cast(id as bigint) % {m} = 1 then '' else updatedAt end as updatedAt from {_replica(n)})" for n, m in ((0, 4), (1, 6))]
 _L, _R = _replica(), _replica(1)
 
+_ANY = " union all ".join(f"select *, {n} as rank from {_replica(n)}" for n in (0, *REMOTES))
+_STATE = "select key, held as rank from a where held is not null qualify row_number() over (partition by key order by n desc) = 1 and n = (select max(n) from e where e.key = a.key)"
+_FOLD = f"""
+        with recursive e as (select *, row_number() over (partition by key order by rank) as n, count(*) over (partition by key) as size from ({_history()})),
+        f as (
+          select key, n, size, case when kind = 'ROW' then rank end as held, case when kind = 'ROW' then ts end as held_ts from e where n = 1
+          union all
+          select e.key, e.n, e.size,
+            case when e.kind = 'ROW' then case when f.held is null or e.ts > f.held_ts then e.rank else f.held end else case when e.ts > f.held_ts then null else f.held end end,
+            case when e.kind = 'ROW' then case when f.held is null or e.ts > f.held_ts then e.ts else f.held_ts end else case when e.ts > f.held_ts then null else f.held_ts end end
+          from f join e on e.key = f.key and e.n = f.n + 1)
+        """
+_STANDS = "select key, held as rank from f where n = size and held is not null"
+_ROWS = f"select id, status, price, updatedAt from ({_ANY}) r join ({{}}) w on w.key = r.id and w.rank = r.rank"
+
 ORACLE_SQL = {
+    "perform_sync_normal": _turns() + _ROWS.format(_STATE),
+    "perform_sync_gap": _FOLD + _ROWS.format(_STANDS),
+    "stream_feed_dedup": f"select tableName, recordId, arg_max(operation, id) as operation, min(id) as pos from {_FEED} group by 1, 2",
+    "sqlite_roundtrip": f"select * from {_L}",
     "feed_read_since": f"select * from {_FEED} where id > 500",
     "feed_max_id": f"select coalesce((select id from {_FEED} order by id desc limit 1), 0) as max_id",
     "feed_min_id": f"select id as min_id from {_FEED} order by id limit 1",
@@ -145,19 +164,10 @@ ORACLE_SQL = {
     + " union all ".join(f"select *, {n} as rank from {_replica(n)}" for n in (0, *REMOTES))
     + ") qualify row_number() over (partition by id order by updatedAt desc, rank) = 1",
     "nway_feed_apply_actions": _turns() + "select key, rank, action from a where rank > 0",
-    "nway_feed_apply_state": _turns() + "select key, held as rank from a where held is not null qualify row_number() over (partition by key order by n desc) = 1 and n = (select max(n) from e where e.key = a.key)",
+    "nway_feed_apply_state": _turns() + _STATE,
     "nway_feed_apply_counters": _turns() + "select rank, action, count(*) as n from a where rank > 0 group by 1, 2",
     "full_merge_table": f"select id, status, price, updatedAt from (select *, 0 as rank from {_L} union all select *, 1 from {_replica(2)}) qualify row_number() over (partition by id order by updatedAt desc, rank) = 1",
-    "full_merge_fold": f"""
-        with recursive e as (select *, row_number() over (partition by key order by rank) as n, count(*) over (partition by key) as size from ({_history()})),
-        f as (
-          select key, n, size, case when kind = 'ROW' then rank end as held, case when kind = 'ROW' then ts end as held_ts from e where n = 1
-          union all
-          select e.key, e.n, e.size,
-            case when e.kind = 'ROW' then case when f.held is null or e.ts > f.held_ts then e.rank else f.held end else case when e.ts > f.held_ts then null else f.held end end,
-            case when e.kind = 'ROW' then case when f.held is null or e.ts > f.held_ts then e.ts else f.held_ts end else case when e.ts > f.held_ts then null else f.held_ts end end
-          from f join e on e.key = f.key and e.n = f.n + 1)
-        select key, held as rank from f where n = size and held is not null""",
+    "full_merge_fold": _FOLD + _STANDS,
     "tombstone_apply": f"""
         select l.* from {_L} l left join {_BURIED} t on t.recordId = l.id
         where t.recordId is null or not t.deletedAt > l.updatedAt or t.recordId in (select id from {_R} where cast(id as bigint) % 10 = 0)""",

@@ -276,6 +276,9 @@ def perform_sync(local: Replica, config: SyncConfig, tables: list[TableConfig])
         except Exception as e:  # noqa: BLE001  one remote's failure is its own
             what = "Full merge failed" if result.had_changelog_gap else "Sync failed"
             result.warnings.append(f"{what} for client {client}: {e}")
+    for _, remote in remotes:
+        if hasattr(remote, "cleanup"):
+            remote.cleanup()
     if config.heartbeat_enabled:
         beat(local, now)
     if result.had_changelog_gap:

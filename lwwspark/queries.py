@@ -3,12 +3,20 @@ collisions from part. Each has a DuckDB form in ``oracle.py``."""
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import HEARTBEAT_ID, TableConfig
+from .model import CHANGELOG, HEARTBEAT_ID, SYNC_STATE, TOMBSTONE, ColumnInfo, SyncConfig, TableConfig, TableMeta
 from .operators import capture, feed, lww, tombstones, unique
+from .operators.lineage import shared_dir
+from .operators.numbering import numbered
 from .plans import catalog
+from .plans.sync import perform_sync
+from .sources import sqlite, store
+from .streaming import maintained_last_operations
 
 NOW, SINCE = "2024-01-31 00:00:00", "2024-01-24 00:00:00"
 TABLES = [TableConfig("users", delete_protected=True), TableConfig("posts")]
@@ -212,7 +220,58 @@ def q_full_merge(s: SparkSession, d: str) -> DataFrame:
     return lww.apply_update(replica(s, d), replica(s, d, 2)).select("id", "status", "price", "updatedAt")
 
 
+ORDERS = TableMeta((ColumnInfo("id", "TEXT", 0, 1), ColumnInfo("status"), ColumnInfo("price", "REAL"), ColumnInfo("updatedAt")))
+
+
+def _fresh(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def _round(s: SparkSession, d: str, gap: bool) -> DataFrame:
+    """The local orders after one round with three remotes in the share."""
+    root, now = _fresh(s, "round"), datetime(1999, 1, 1)
+    local = store.create(s, f"{root}/local", {"orders": (replica(s, d), ORDERS)})
+    store.set_up(local)
+    if gap:
+        seen = [(f"r{n}", 10**9, "") for n in REMOTES]
+        local.commit({SYNC_STATE: s.createDataFrame(seen, local.table(SYNC_STATE).schema)})
+    for n in REMOTES:
+        remote = store.create(s, f"{root}/r{n}", {"orders": (replica(s, d, n), ORDERS)})
+        store.set_up(remote)
+        if gap:
+            k = F.col("o_orderkey")
+            dead = read(s, d, "orders").where(k % 7 == n).select(F.lit("orders").alias("tableName"), k.cast("string").alias("recordId"), F.lit(f"199{n + 3}-06-01").alias("deletedAt"))
+            remote.commit({TOMBSTONE: dead})
+        else:
+            made = numbered(operations(s, d, n).select(F.lit("orders").alias("tableName"), "recordId", "operation", F.lit("1999-01-01 00:00:00").alias("changedAt")), ["recordId"], "id")
+            remote.commit({CHANGELOG: made.select(*feed.COLUMNS)})
+        remote.publish(f"{root}/share", f"r{n}")
+    config = SyncConfig(f"{root}/local", f"{root}/share", "local", now=lambda: now)
+    result = perform_sync(local, config, [TableConfig("orders")])
+    if result.clients_synced != len(REMOTES) or result.had_changelog_gap != gap:
+        raise RuntimeError(f"the round failed: {result.warnings[-1:]}")
+    return local.table("orders")
+
+
+def q_stream(s: SparkSession, d: str) -> DataFrame:
+    """The feed as a stream of files, one a batch."""
+    root = _fresh(s, "stream")
+    events_feed(s, d).repartitionByRange(3, "id").write.parquet(f"{root}/feed")
+    return maintained_last_operations(s, f"{root}/feed", f"{root}/state", f"{root}/checkpoint", 1)
+
+
+def q_sqlite(s: SparkSession, d: str) -> DataFrame:
+    """Orders through a SQLite file and back."""
+    path = _fresh(s, "orders") + ".sqlite"
+    sqlite.write_file(path, {"orders": (replica(s, d), ORDERS)})
+    return sqlite.read_table(s, path, "orders", rows=50_000)
+
+
 QUERIES = {
+    "perform_sync_normal": lambda s, d: _round(s, d, gap=False),
+    "perform_sync_gap": lambda s, d: _round(s, d, gap=True),
+    "stream_feed_dedup": q_stream,
+    "sqlite_roundtrip": q_sqlite,
     "feed_read_since": lambda s, d: feed.read_since(events_feed(s, d), 500),
     "feed_max_id": lambda s, d: feed.max_id(events_feed(s, d)),
     "feed_min_id": lambda s, d: feed.min_id(events_feed(s, d)),

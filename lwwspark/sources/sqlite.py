@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import shutil
 import sqlite3
-import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import SYSTEM_TABLES, ColumnInfo, TableMeta
+from ..operators.lineage import shared_dir
 
 _TYPES = {"INTEGER": "bigint", "INT": "bigint", "BIGINT": "bigint", "REAL": "double", "DOUBLE": "double", "FLOAT": "double", "BLOB": "binary"}
 
@@ -93,13 +93,21 @@ def read_table(spark: SparkSession, path: str, table: str, rows: int = 100_000)
     return spark.read.format("sqlite").option("path", path).option("table", table).option("rows", rows).load()
 
 
-def as_replica(spark: SparkSession, path: str):
-    """A replica over a copy of a SQLite file; None by exception if it isn't one."""
+def as_replica(spark: SparkSession, path: str, copied: bool = True):
+    """A read-only replica over a copy of a SQLite file, in the folder that executors share, or over the file itself."""
     from .store import Replica, Version
 
-    copy = f"{tempfile.mkdtemp(prefix='lwwspark-')}/{uuid.uuid4().hex}.sqlite"
-    shutil.copyfile(local_path(path), copy)
-    metas = declared(copy)
+    copy = local_path(path)
+    if copied:
+        copy = f"{local_path(shared_dir(spark))}/{uuid.uuid4().hex}.sqlite"
+        os.makedirs(os.path.dirname(copy), exist_ok=True)
+        shutil.copyfile(local_path(path), copy)
+    try:
+        metas = declared(copy)
+    except Exception:
+        if copied:
+            os.remove(copy)
+        raise
 
     class SqliteReplica(Replica):
         def __init__(self):
@@ -108,6 +116,11 @@ def as_replica(spark: SparkSession, path: str):
         def table(self, name: str) -> DataFrame:
             return read_table(spark, copy, name) if name in metas else spark.createDataFrame([], SYSTEM_TABLES[name])
 
+        def cleanup(self) -> None:
+            """Removes the copy."""
+            if copied:
+                os.remove(copy)
+
     return SqliteReplica()
 
 

@@ -186,13 +186,13 @@ def remotes(spark: SparkSession, share: str, me: str) -> list[tuple[str, str]]:
     return sorted(out)
 
 
-def open_remote(spark: SparkSession, path: str) -> Replica | None:
-    """The copy as it is now, later versions don't show; None if it can't be read."""
+def open_remote(spark: SparkSession, path: str, copy: bool = True) -> Replica | None:
+    """The copy as it is now, later versions don't show; None if it can't be read. ``copy=False`` reads a SQLite file in place."""
     try:
         if path.endswith(".sqlite"):
             from .sqlite import as_replica
 
-            return as_replica(spark, path)
+            return as_replica(spark, path, copy)
         replica = Replica(spark, path)
         if not replica.version.tables:
             return None

@@ -32,6 +32,26 @@ def run_batches(stream: DataFrame, apply: Callable[[DataFrame, int], None], chec
     return (writer.trigger(processingTime=f"{every_ms} milliseconds") if every_ms else writer.trigger(availableNow=True)).start()
 
 
+def maintained_last_operations(spark: SparkSession, feed: str, state: str, checkpoint: str, files_per_batch: int = 1000) -> DataFrame:
+    """Brings the table of last operations under ``state`` up to the feed's present end, and returns it.
+
+    Each batch is folded into the state before it; a state is written whole under its batch's number, so a batch that is
+    run again replaces its own result.
+    """
+
+    def fold(df: DataFrame, number: int) -> None:
+        new = df.groupBy("tableName", "recordId").agg(F.max(F.struct("id", "operation")).alias("last"), F.min("id").alias("pos"))
+        if number:
+            new = spark.read.parquet(f"{state}/{number - 1}").unionByName(new).groupBy("tableName", "recordId").agg(F.max("last").alias("last"), F.min("pos").alias("pos"))
+        new.write.mode("overwrite").parquet(f"{state}/{number}")
+
+    writer = feed_stream(spark, feed, files_per_batch).writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress["batchId"]
+    return spark.read.parquet(f"{state}/{last}").select("tableName", "recordId", F.col("last.operation").alias("operation"), "pos")
+
+
 def recent_activity(stream: DataFrame, late: str = "1 day", window: str = "1 hour") -> DataFrame:
     """Entries by table and hour of their change; later ones than the watermark are dropped."""
     timed = stream.withColumn("at", F.to_timestamp("changedAt"))

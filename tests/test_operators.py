@@ -98,7 +98,8 @@ META = ["id", "u", "updatedAt"]
 def table_fold(local, ops):
     """A whole table with one unique column, operation after operation."""
     state = unique.Rows("id", "updatedAt", [("u",)])
-    state.rows = {r["id"]: r for r in local}
+    for r in local:
+        state.hold(r)
     told = []
     for pos, op, row in ops:
         try:

@@ -60,6 +60,7 @@ def test_sqlite_files_go_both_ways(spark, tmp_path):
     with sqlite3.connect(path) as db:
         db.execute("delete from t")
     assert replica.table("t").count() == 250 and replica.table('odd "name"').count() == 0
+    assert store.open_remote(spark, path, copy=False).table("t").count() == 0
     sqlite.export(replica, f"{tmp_path}/out", "y")
     assert store.open_remote(spark, f"{tmp_path}/out/client-y.sqlite").table("t").count() == 250
 
