@@ -22,7 +22,7 @@ from ..sources import store
 from ..sources.store import Replica
 from .writes import beat, set_version
 
-CONFLICT_LINES = 1000
+CONFLICT_LINES, KEPT_VERSIONS = 1000, 32
 _OUTCOME = ["pos", "recordId", "action", "local_updated_at", "remote_updated_at", "resolution", "loser"]
 
 
@@ -284,6 +284,7 @@ def perform_sync(local: Replica, config: SyncConfig, tables: list[TableConfig])
     if result.had_changelog_gap:
         local.publish(config.nas_path, config.client_id)
     cleanup(local, config, now)
+    local.vacuum(KEPT_VERSIONS)
     if config.on_after_sync:
         config.on_after_sync(local, result)
     return result

@@ -82,3 +82,31 @@ def test_streams(spark, tmp_path):
     q = recent_activity(stream).writeStream.outputMode("append").format("memory").queryName("activity").trigger(availableNow=True).start()
     q.awaitTermination()
     assert all(r.n == 10 for r in spark.table("activity").collect())
+
+
+def test_setup_and_capture_of_writes(spark, tmp_path):
+    from datetime import datetime
+
+    from lwwspark.model import CHANGELOG, HEARTBEAT, SYSTEM_TABLES, TOMBSTONE
+    from lwwspark.plans.writes import beat, set_version, write
+
+    r = store.create(spark, f"{tmp_path}/r", {"t": (table(spark), META)})
+    store.set_up(r)
+    store.set_up(r)
+    assert all(r.has(n) and r.table(n).schema.names == s.names for n, s in SYSTEM_TABLES.items())
+    now = datetime(2024, 7, 1, 23, 59)
+    write(r, "t", table(spark, ("a", 1, "x"), ("b", 2, "x")), now=now)
+    write(r, "t", table(spark, ("a", 1, "x")), now=now)  # changes nothing, is logged
+    write(r, "t", deletes=["b", "nobody"], now=now)
+    log = sorted(map(tuple, r.table(CHANGELOG).collect()))
+    assert [e[:4] for e in log] == [(1, "t", "a", "INSERT"), (2, "t", "b", "INSERT"), (3, "t", "a", "UPDATE"), (4, "t", "b", "DELETE")] and log[0][4] == "2024-07-01 23:59:00"
+    assert [tuple(x) for x in r.table(TOMBSTONE).collect()] == [("t", "b", "2024-07-01 23:59:00")]
+    assert beat(r, now) and not beat(r, now) and beat(r, datetime(2024, 7, 2)) and not beat(r, datetime(2024, 7, 1))
+    assert [x.operation for x in r.table(CHANGELOG).where(f"tableName = '{HEARTBEAT}'").orderBy("id").collect()] == ["INSERT", "UPDATE"]
+    r.commit({CHANGELOG: r.table(CHANGELOG).where("false")})
+    write(r, "t", table(spark, ("c", 3, "x")), now=now)
+    assert [x.id for x in r.table(CHANGELOG).collect()] == [7]  # ids are never given out twice
+    assert r.schema_version() is None
+    set_version(r, "v1")
+    set_version(r, "v2")
+    assert store.Replica(spark, r.folder.path).schema_version() == "v2"
