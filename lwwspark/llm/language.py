@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fold_of, fresh
+from .common import by_small_batches, fold_of, fresh
 
 SAMPLE_ROWS, PIECE = 128, 250
 SEGMENT = 256
@@ -221,12 +221,12 @@ def language_of(samples: dict[str, str], text):
 def identify_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     samples = learn_samples(docs, doc_id, text, lang)
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold_of(doc_id, 4) == 2, F.lit(False)).alias("held_out"), language_of(samples, F.col(text)).alias("x"))
+    out = by_small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(fold_of(doc_id, 4) == 2, F.lit(False)).alias("held_out"), language_of(samples, F.col(text)).alias("x"))
     return out.select("doc_id", "held_out", "x.lang_pred", "x.score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language can be told; rejected are those with ``und``. Columns stay."""
     mark = fresh(docs, "identified")
-    marked = docs.withColumn(mark, language_of(learn_samples(docs), F.col("text")))
+    marked = by_small_batches(docs).withColumn(mark, language_of(learn_samples(docs), F.col("text")))
     return marked.where(F.col(f"`{mark}`.lang_pred") != "und").drop(mark)

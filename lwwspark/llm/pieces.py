@@ -27,6 +27,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_small_batches
+
 SPACE = "▁"
 CUTS, LONGEST_KEPT = 250_000, 256
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types
@@ -269,7 +271,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         lists = [pa.array([x[i] for x in got], pa.list_(pa.int32())) for i in range(3)]
         return pa.StructArray.from_arrays([*lists, pa.array([decoder.decode(x[0].tolist()) for x in got], pa.string())], ["ids", "starts", "ends", "decoded"])
 
-    out = docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("x"))
+    out = by_small_batches(docs).select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("x"))
     return out.select("doc_id", "x.*")
 
 
@@ -291,5 +293,5 @@ def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())]
         return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)][: len(names)], names)
 
-    out = docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("x"))
+    out = by_small_batches(docs).select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("x"))
     return out.select("doc_id", "x.*")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, fresh
+from .common import by_small_batches, fold_of, fresh
 
 LABELLED, UNLABELLED = 12_000, 10_000
 THRESHOLD = 0.3
@@ -152,7 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = labels.where(fold & F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), order.alias("order"), (F.col(label) == 1).alias("good"))
     n, good = known.agg(F.count("*"), F.count(F.when(F.col("good"), 1))).first()
     chosen = known.where(F.col("order").cast("double") <= _reach(n, LABELLED)).distinct()
-    total = docs.where(fold).count()
+    total = by_small_batches(docs).where(fold).count()
     x = _features_of(F.col(text)).alias("x")
     # At most about 1.2 * LABELLED ids: a broadcast of bounded size.
     first = docs.select(F.col(doc_id).alias("of"), text).join(F.broadcast(chosen), F.col("of") == F.col("id")).select("order", "good", x)

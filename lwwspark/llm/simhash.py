@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from .common import cut, fresh
+from .common import by_small_batches, cut, fresh
 from .components import components
 
 SEED, WORDS, RADIUS = 42, 3, 3
@@ -74,7 +74,7 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fp (bigint), root (smallest fingerprint reachable) and component_id (smallest id reachable), a row for each document."""
-    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
+    prints = cut(by_small_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp")))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(close_pairs(nodes.select("fp")))
     tied = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, remove, scratch
+from .common import by_small_batches, cut, remove, scratch
 
 SEPARATOR = 50_256
 BLOCK_TOKENS = 1 << 18
@@ -59,7 +59,7 @@ def token_bytes(text, ranks: str | None = None):
 def write_token_files(docs: DataFrame, path: str, text: str = "text", ranks: str | None = None, separator: int = SEPARATOR) -> None:
     """One flat file for each task; the documents in the task's order."""
     line_end = separator.to_bytes(2, "little").decode("latin-1")
-    ids = docs.select(token_bytes(F.col(text), ranks).cast("string").alias("value"))
+    ids = by_small_batches(docs).select(token_bytes(F.col(text), ranks).cast("string").alias("value"))
     ids.write.option("lineSep", line_end).option("encoding", "ISO-8859-1").text(path)
 
 
