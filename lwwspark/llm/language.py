@@ -21,7 +21,6 @@ learned. Ties go to the language that sorts first. Repeated rows get equal resul
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
@@ -36,7 +35,7 @@ SAMPLE_ROWS, PIECE = 128, 250
 SEGMENT = 256
 ALPHABET = 250
 LANES = 16_384
-_LETTER = re.compile(r"[^\W\d_]")
+
 
 
 def learn_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
@@ -167,7 +166,7 @@ class CrossParser:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-        at = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
+        at = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if self.langs else []
         if at:
             counts, n = self.phrases([texts[i] for i in at])
             bits = counts * self.bits / n[:, None]
