@@ -1,14 +1,15 @@
 """Mixing by soft membership: rates for documents so that expected domain totals match target weights.
 
-A naive Bayes classifier over hashed words, learned from a table that labels some documents with a domain, gives each
-document posteriors p over the domains; a document of n words counts n * p words towards them. Then projected gradient
+A naive Bayes classifier, learned from a table that labels some documents with a domain, gives each document posteriors p
+over the domains. Up to ``TERMS`` words, those that tell most by a test of proportions, each speak for one domain; the
+evidence that a document's terms give for a domain has one of four levels, and the levels' frequencies are learned; a document of n words counts n * p words towards them. Then projected gradient
 descent (accelerated, restarted when it stops helping) minimises the squared distance of the domains' expected totals
 from their targets, weighted by the inverse Gram matrix of the posteriors, over nonnegative rates, starting from 1 for
 every document. Each step sums K numbers over the table and moves every rate by its posteriors' share of the gradient.
 
-DataFrame functions only: words are looked up with higher-order functions inside the row, so texts are neither exploded
-nor shuffled; steps run over a narrow checkpointed table; the driver sees K sums a step and the bounded table of word
-weights (``BUCKETS`` by K).
+DataFrame functions only: terms are found by a set intersection inside the row, so texts are neither exploded nor shuffled
+(but for the sample that the classifier learns from); steps run over a narrow checkpointed table; the driver sees K sums a
+step and the terms with their counts.
 
 Fitting uses at most about ``LABELLED`` labelled rows, those with the smallest hashes of their ids.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -29,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh
 
-BUCKETS, LABELLED, EVIDENCE, STEPS, NEAR = 8192, 12_000, 100, 60, 1e-4
+TERMS, LABELLED, STEPS, NEAR = 512, 12_000, 60, 1e-4
+SURE, STRONG = 4.0, 3.0  # standard deviations, and times as often as in the first domain, for a word to be a term
+GRADES = (3.0, 8.0)  # bounds of evidence between levels
 
 
 def words_of(text: Column) -> Column:
@@ -37,17 +41,42 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \n]"), "")
 
 
-def places(words: Column) -> Column:
-    return F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int"))
-
-
 def literal(values, digits: str = ".4f") -> Column:
     """A constant array; folded once when the plan is made."""
     return F.split(F.lit(",".join(format(float(v), digits) for v in values)), ",").cast("array<double>")
 
 
-def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(log prior by domain, log odds by domain and bucket against the first domain)."""
+@dataclass
+class Judge:
+    """Terms; by domain but the first, how much each of its terms speaks for it (0 for other domains' terms); and log prior
+    and log chances of each level of evidence, by domain."""
+
+    terms: list[str]
+    weights: np.ndarray  # domains - 1, terms
+    prior: np.ndarray
+    chances: np.ndarray | None = None  # domain, domain that the evidence is for, level
+
+    def levels(self, words: Column) -> Column:
+        """Array of levels, 1 (no term) to 4, of the evidence for each domain but the first."""
+        terms = F.array(*(F.lit(t) for t in self.terms)) if self.terms else F.array().cast("array<string>")
+        at = F.transform(F.array_intersect(words, terms), lambda w: F.array_position(terms, w).cast("int"))
+        sums = lambda table: F.aggregate(at, F.lit(0.0), lambda s, i: s + F.element_at(table, i))
+        grade = lambda e: F.when(e == 0, 1).when(e < GRADES[0], 2).when(e < GRADES[1], 3).otherwise(4)
+        return F.transform(F.array(*(sums(literal(w)) for w in self.weights)), grade) if self.terms else F.array(*(F.lit(1) for _ in self.weights))
+
+    def logits(self, levels: Column) -> Column:
+        """Array of log posteriors, not yet normalised."""
+        out = []
+        for j, prior in enumerate(self.prior):
+            total = F.lit(float(prior))
+            for i in range(len(self.weights)):
+                total = total + F.element_at(literal(self.chances[j, i]), F.element_at(levels, i + 1))
+            out.append(total)
+        return F.array(*out)
+
+
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str, text: str) -> Judge:
+    """Fits the classifier. A document counts a word once; the words whose presence tells most become terms."""
     k = len(domains)
     order = F.xxhash64("id").cast("double")
     known = labelled.select(F.col(doc_id).alias("id"), F.col("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(domains)).distinct()
@@ -57,25 +86,32 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str,
     reach = F.lit(-(2.0**63) + 2.0**64 * min(1.0, LABELLED / max(1, total)))
     chosen = F.broadcast(known.where(order <= reach))  # about LABELLED ids: a broadcast of bounded size
     rows = docs.select(F.col(doc_id).alias("of"), F.col(text).alias("text")).join(chosen, F.col("of") == F.col("id"))
-    # Each document counts a word once, however often it repeats it.
-    words = rows.select("domain", F.explode(F.array_distinct(places(words_of(F.col("text"))))).alias("at"))
-    counts = np.zeros((k, BUCKETS))
-    for r in words.groupBy("domain", "at").agg(F.count("*").alias("n")).collect():
-        counts[domains.index(r["domain"]), r["at"] - 1] = r["n"]
-    smooth = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)
-    odds = np.log(smooth)
-    return prior, odds - odds[0]
-
-
-def posteriors(text: Column, prior: np.ndarray, odds: np.ndarray) -> tuple[Column, Column]:
-    """(number of words, array of log posteriors, not yet normalised); evidence counts as that of ``EVIDENCE`` words at most, so they stay soft."""
-    at = places(words_of(text))
-    total = lambda table: F.aggregate(at, F.lit(0.0), lambda s, i: s + F.element_at(table, i))
-    sums = [F.lit(0.0), *(total(literal(o)) for o in odds[1:])]
-    n = F.size(at)
-    share = F.least(n, F.lit(EVIDENCE)) / F.greatest(n, F.lit(1))
-    logits = F.array(*(F.lit(float(p)) + s * share for p, s in zip(prior, sums, strict=True)))
-    return n, logits
+    size = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    sizes = [size.get(d, 0) for d in domains]
+    if not sum(sizes):
+        return Judge([], np.zeros((k - 1, 0)), prior, np.zeros((k, k - 1, 4)))
+    words = rows.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word"))
+    in_each = [F.count(F.when(F.col("domain") == d, 1)).alias(f"n{i}") for i, d in enumerate(domains)]
+    counts = words.groupBy("word").agg(F.count("*").alias("n"), *in_each)
+    share, tells = F.col("n") / sum(sizes), []
+    for i in range(1, k):
+        by_chance = share * sizes[i]
+        sure = (F.col(f"n{i}") - by_chance) / F.sqrt(by_chance * (1 - share) + 1e-9)
+        times = ((F.col(f"n{i}") + 0.5) / (sizes[i] + 1)) / ((F.col("n0") + 0.5) / (sizes[0] + 1))
+        tells.append(F.when(times >= STRONG, sure))
+    counts = counts.withColumn("tells", F.array_max(F.array(F.lit(0.0), *tells)))
+    best = counts.where((F.col("n") >= 5) & (F.col("tells") >= SURE)).orderBy(F.desc("tells"), "word").limit(TERMS).collect()
+    at = np.array([[r[f"n{i}"] for r in best] for i in range(k)], float).reshape(k, len(best))
+    odds = np.log((at + 0.5) / (np.array(sizes)[:, None] + 1))
+    odds = (odds - odds[0])[1:]
+    weights = np.where(odds == odds.max(axis=0), np.maximum(odds, 0), 0) if len(best) and k > 1 else np.zeros((k - 1, len(best)))
+    judge = Judge([r["word"] for r in best], weights, prior)
+    graded = rows.select("domain", judge.levels(words_of(F.col("text"))).alias("levels")).select("domain", F.posexplode("levels").alias("of", "level"))
+    seen = np.full((k, k - 1, 4), 0.5)
+    for r in graded.groupBy("domain", "of", "level").agg(F.count("*").alias("n")).collect():
+        seen[domains.index(r["domain"]), r["of"], r["level"] - 1] += r["n"]
+    judge.chances = np.log(seen / seen.sum(axis=2, keepdims=True))
+    return judge
 
 
 def _softmax(rows: DataFrame, logits: str, out: list[str]) -> DataFrame:
@@ -156,10 +192,11 @@ def copies_of(rate: Column, key: Column) -> Column:
 def rated(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str, text: str) -> tuple[list[str], DataFrame]:
     """(posterior columns, doc_id, text_hash, n_words, posteriors, rate of every document)."""
     domains, goal = goal_of(targets)
-    prior, odds = learn(docs, labelled, domains, doc_id, text)
+    judge = learn(docs, labelled, domains, doc_id, text)
     p = [f"p{i}" for i in range(len(domains))]
-    n, logits = posteriors(F.col(text), prior, odds)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), n.alias("n_words"), logits.alias("logits"))
+    words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("words"))
+    rows = words.select("doc_id", "text_hash", F.size("words").alias("n_words"), judge.levels(F.col("words")).alias("levels"))
+    rows = rows.select("doc_id", "text_hash", "n_words", judge.logits(F.col("levels")).alias("logits"))
     table = cut(_softmax(rows, "logits", p).drop("logits"))
     return p, solve(table, p, "n_words", goal)
 
