@@ -9,9 +9,9 @@ unique set and components are chains of contended rows, not groups that grow wit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,36 +144,47 @@ OUTCOME = "pos bigint, recordId string, action string, local_updated_at string,
 
 
 def fold(local: DataFrame, ops: DataFrame, labels: DataFrame, sets: Sets, key: str = "id", ts: str = "updatedAt") -> tuple[DataFrame, DataFrame]:
-    """(rows that stand, outcomes) of the labelled keys. ``ops``: pos, recordId, operation, row."""
+    """(rows that stand, outcomes) of the labelled keys. ``ops``: pos, recordId, operation, row.
+
+    Components are dealt out by label and stream through their task in order, the local rows of each first.
+    """
     row_type = ops.schema["row"].dataType.simpleString()
     mine = local.select(F.lit(None).cast("bigint").alias("pos"), F.col(key).alias("recordId"), F.lit("LOCAL").alias("operation"), F.struct(*local.columns).alias("row"))
     both = mine.unionByName(ops.select("pos", "recordId", "operation", "row"))
-    dealt = both.join(labels, F.col("recordId") == F.col("_key")).drop("_key")
-    columns = local.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = Rows(key, ts, sets), []
-        pdf = pdf.sort_values("pos", na_position="first", kind="stable")
-        failed = False
-        for pos, record, operation, row in zip(pdf["pos"], pdf["recordId"], pdf["operation"], pdf["row"], strict=True):
-            if operation == "LOCAL":
-                state.hold(row)
-                continue
-            if failed:
-                break
-            try:
-                if operation == "DELETE":
-                    action, conflict = state.delete(record)
-                else:
-                    action, conflict = (state.insert if operation == "INSERT" else state.update)(row)
-            except ValueError:
-                action, conflict, failed = None, None, True
-            c = conflict or (None,) * 4
-            out.append({"pos": pos, "recordId": record, "action": action, "local_updated_at": c[1], "remote_updated_at": c[2], "resolution": c[3], "conflict_id": c[0], "loser": c[4] if len(c) > 4 else None, "failed": failed, "row": None})
-        for row in state.rows.values():
-            out.append({"pos": None, "recordId": row[key], "action": None, "local_updated_at": None, "remote_updated_at": None, "resolution": None, "conflict_id": None, "loser": None, "failed": False, "row": {c: row[c] for c in columns}})
-        names = ["pos", "recordId", "action", "local_updated_at", "remote_updated_at", "resolution", "conflict_id", "loser", "failed", "row"]
-        return pd.DataFrame({n: pd.Series([o[n] for o in out], dtype="Int64" if n == "pos" else object) for n in names})
-
-    done = cut(dealt.groupBy("component").applyInPandas(run, f"{OUTCOME}, row {row_type}"))
+    dealt = both.join(labels, F.col("recordId") == F.col("_key")).select("component", "pos", "recordId", "operation", "row")
+    names = [x.split()[0] for x in OUTCOME.split(", ")] + ["row"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, failed, at = Rows(key, ts, sets), False, None
+        row_kind = None
+
+        def pack(out: list[tuple]) -> pa.RecordBatch:
+            kinds = [pa.int64(), *[pa.string()] * 7, pa.bool_(), row_kind]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+        def standing() -> list[tuple]:
+            return [(None, k, *[None] * 6, False, row) for k, row in state.rows.items()]
+
+        for batch in batches:
+            row_kind, out = batch.schema.field("row").type, []
+            for component, pos, record, operation, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if component != at:
+                    out += standing()
+                    state, failed, at = Rows(key, ts, sets), False, component
+                if operation == "LOCAL":
+                    state.hold(row)
+                elif not failed:
+                    try:
+                        action, told = state.delete(record) if operation == "DELETE" else (state.insert if operation == "INSERT" else state.update)(row)
+                    except ValueError:
+                        action, told, failed = None, None, True
+                    c = told or (None,) * 4
+                    out.append((pos, record, action, c[1], c[2], c[3], c[0], c[4] if len(c) > 4 else None, failed, None))
+            if out:
+                yield pack(out)
+        if state.rows:
+            yield pack(standing())
+
+    ordered = dealt.repartition("component").sortWithinPartitions("component", F.col("pos").asc_nulls_first())
+    done = cut(ordered.mapInArrow(run, f"{OUTCOME}, row {row_type}"))
     return done.where("row is not null").select("row.*"), done.where("pos is not null").drop("row")
