@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,10 +43,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def by_small_batches(df: DataFrame) -> DataFrame:
-    """Texts go to Python ``BATCH_ROWS`` at a time: a worker's memory follows the batch, and texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """Texts go to Python ``BATCH_ROWS`` at a time, and ``BATCH_BYTES``: memory follows the batch, and texts may be long."""
+    conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if conf.get(size) == "67108864b":  # its default
+        conf.set(size, BATCH_BYTES)
     return df
 
 
