@@ -146,8 +146,10 @@ def tile_counts(members: DataFrame) -> DataFrame:
 
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("bigint").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    # Single-precision vectors travel as they are; every comparison widens them first.
+    held = F.col(embedding) if vectors.schema[embedding].dataType.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("bigint").alias("label"), held.alias("embedding"))
+    finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     nonzero = F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & nonzero
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
