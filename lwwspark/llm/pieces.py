@@ -291,7 +291,7 @@ def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
             rows.append((len(ids), digest, hashlib.sha256(decoder.decode(ids).encode()).hexdigest(), int((ends - starts).sum()), array))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())]
-        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)][: len(names)], names)
+        return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k, _ in zip(columns, kinds, names, strict=False)], names)
 
     out = by_small_batches(docs).select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("x"))
     return out.select("doc_id", "x.*")
