@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, forget, remove, scratch, shared_dir
+
 BATCH_ROWS, BATCH_BYTES = 2000, "16m"
 
 
@@ -15,35 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares: ``spark.checkpoint.dir``; a local one only where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lwwspark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def by_small_batches(df: DataFrame) -> DataFrame:
-    """Texts go to Python ``BATCH_ROWS`` at a time, and ``BATCH_BYTES``: memory follows the batch, and texts may be long."""
+    """Texts go to Python ``BATCH_ROWS`` at a time, and ``BATCH_BYTES``: memory follows the batch, and texts may be long.
+
+    Spark has these bounds in the session only, and reads them when a plan runs, so they stay: a bound that the caller has
+    set lower, or for bytes at all, is kept.
+    """
     conf, rows, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
         conf.set(rows, str(BATCH_ROWS))
@@ -63,3 +39,6 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+__all__ = ["by_small_batches", "cut", "fold_of", "forget", "fresh", "remove", "scratch", "shared_dir", "table"]
