@@ -5,24 +5,28 @@ longest phrases that occur in that text; the language that needs the fewest phra
 (phrases x log2 of the sample's length / characters), wins.
 
 Greedy parsing with a suffix automaton is itself a finite automaton: where no transition exists, a phrase ends and the
-walk goes on from the root. So each language becomes one dense transition table, and a whole batch of documents is
-walked at once, one step for all its segments. Texts are parsed whole, in segments of ``SEGMENT`` characters.
+walk goes on with the root's transition. Transitions are kept by row displacement: all states' rows overlaid in one array
+without collisions, so a table is as large as its transitions are many, whatever the alphabet. A whole batch of documents
+is walked at once, in segments of ``SEGMENT`` characters, one step for all of them. Where a segment begins is no place
+where a phrase must end: each segment is then walked once more from the state in which the one before it really ends,
+until both walks meet, and counted anew up to there. So the counts are those of whole texts.
 
 Case doesn't count, and any run of characters that aren't letters counts as one separator, so what junk a text holds says
-nothing about its language.
+nothing about its language. A letter that a sample lacks is a phrase of its own.
 
-Fitting: the sample of a language is ``PIECE`` characters from the middle of at most ``SAMPLE_ROWS`` documents, those with
-the smallest hash of their id; many documents, so that no single one stamps it. Only these bounded samples are collected or sent to executors. Rows whose
-crc32(id) mod 4 is 2, or whose id, language or text is null, are never learned from. Scoring has no shuffle.
+Fitting: the sample of a language is ``SAMPLE_PIECES`` passages of ``PIECE`` characters, those with the smallest hashes
+among all passages of all its learning texts (many documents, so that no single one stamps it). Only these bounded samples
+are collected or sent to executors, of ``LANGUAGES`` languages at most; more are an error, as every worker holds a table
+for each. Rows whose crc32(id) mod 4 is 2, or whose id, language or text is null, are never learned from. Scoring reads
+texts whole and has no shuffle.
 
 Defined results: null texts, empty texts and texts without a letter get ``und`` and 0; so do all if nothing can be
-learned. Ties go to the language that sorts first. Repeated rows get equal results. An empty table gives an empty result.
+learned. Ties go to the language that sorts first. Repeated rows get equal results. Other columns are not read. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,29 +35,33 @@ from pyspark.sql.window import Window
 
 from .common import by_small_batches, fold_of, fresh
 
-SAMPLE_ROWS, PIECE = 128, 250
+#: The bounds of the fit: passages of a language, characters of a passage, languages.
+SAMPLE_PIECES, PIECE, LANGUAGES = 128, 250, 2000
 SEGMENT = 256
-ALPHABET = 250
-LANES = 16_384
-
+#: States that a batch's walk keeps at a time.
+HELD = 1 << 24
 
 
-def learn_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, str]:
+def learn_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", pieces: int = SAMPLE_PIECES, piece: int = PIECE) -> dict[str, str]:
     """Bounded training text for each language."""
-    order = F.xxhash64(F.col(doc_id))
+    spark = docs.sparkSession
     rows = docs.where((fold_of(doc_id, 4) != 2) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = rows.select(F.col(lang).alias("lang"), order.alias("order"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    n = F.ceil(F.length("text") / piece)
+    totals = rows.groupBy("lang").agg(F.sum(n).alias("n")).limit(LANGUAGES + 1).collect()
+    if len(totals) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
+    # Hashes are even: below this bound lie about four times as many passages as are wanted, of each language.
+    reach = [(r["lang"], -(2.0**63) + 2.0**64 * min(1.0, 4 * pieces / r["n"])) for r in totals if r["n"]]
+    if not reach:
         return {}
-    # Hashes are even: below this bound lie about four times as many rows as are wanted, of each language.
-    reach = F.lit(None).cast("double")
-    for name, n in counts.items():
-        reach = F.when(F.col("lang") == name, F.lit(-(2.0**63) + 2.0**64 * min(1.0, 4 * SAMPLE_ROWS / n))).otherwise(reach)
+    bounds = F.broadcast(spark.createDataFrame(reach, "lang string, reach double"))  # a row for each language
+    order = lambda at: F.xxhash64("id", at)
+    near = F.filter(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda at: order(at).cast("double") <= F.col("reach"))
+    cut_out = rows.where("text <> ''").join(bounds, "lang").select("lang", "id", "text", F.explode(near).alias("at"))
+    cut_out = cut_out.select("lang", order(F.col("at")).alias("order"), F.substring("text", (F.col("at") * piece + 1).cast("int"), F.lit(piece)).alias("text"))
     first = Window.partitionBy("lang").orderBy("order", "text")
-    middle = F.greatest(F.lit(1), F.floor((F.length("text") - PIECE) / 2).cast("int"))
-    near = rows.where(F.col("order").cast("double") <= reach).withColumn("text", F.col("text").substr(middle, F.lit(PIECE)))
-    best = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_ROWS)
+    best = cut_out.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= pieces)
     texts: dict[str, list] = {}
     for r in best.select("lang", "rank", "text").collect():
         texts.setdefault(r["lang"], []).append((r["rank"], r["text"]))
@@ -88,43 +96,71 @@ def suffix_automaton(codes) -> list[dict[int, int]]:
     return go
 
 
+def displaced(go: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, owner, target): state s has a transition by c to target[base[s] + c] where owner[base[s] + c] is s.
+
+    States with several transitions are laid first fit, those with one fill what is left free. Codes are below ``width``.
+    """
+    many = sorted((s for s, t in enumerate(go) if len(t) > 1), key=lambda s: (-len(go[s]), s))
+    single = [s for s, t in enumerate(go) if len(t) == 1]
+    size = 2 * width + 2 * sum(len(go[s]) for s in many) + len(single)
+    taken, base, low = bytearray(size), [width] * len(go), width
+    for s in many:
+        codes = sorted(go[s])
+        while taken[low]:
+            low += 1
+        at, tries = low, 0
+        while taken[at] or any(taken[at + c - codes[0]] for c in codes[1:]):
+            at, tries = at + 1, tries + 1
+            if at + width >= len(taken):
+                taken.extend(bytes(width + len(taken)))
+        if tries > 64:  # what lies lower is too crowded for rows like this one; single transitions will fill it
+            low = max(low, at - 64)
+        base[s] = at - codes[0]
+        for c in codes:
+            taken[base[s] + c] = 1
+    free = np.flatnonzero(np.frombuffer(taken, np.uint8)[width:] == 0) + width
+    if len(free) < len(single):
+        free = np.concatenate([free, np.arange(len(single) - len(free)) + len(taken)])
+    for s, at in zip(single, free.tolist(), strict=False):
+        base[s] = at - next(iter(go[s]))
+    end = max((base[s] for s in range(len(go))), default=0) + width
+    owner, target = np.full(end, -1, np.int64), np.zeros(end, np.int64)
+    for s in [*many, *single]:
+        for c, to in go[s].items():
+            owner[base[s] + c], target[base[s] + c] = s, to
+    return np.array(base, np.int64), owner, target
+
+
 class CrossParser:
     """Phrase counts of texts against every language's sample."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        seen = Counter()
-        for t in samples.values():
-            seen.update(c for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
-        self.width = len(letters) + 2  # code 0: other letters; 1: what isn't a letter
-        self.code = np.fromiter((not chr(i).isalpha() for i in range(0x110000)), np.uint8, 0x110000)
+        letters = sorted({c for t in samples.values() for c in t.lower() if c.isalpha()})
+        width = len(letters) + 2  # code 0: letters that no sample has; 1: what isn't a letter
+        self.code = np.fromiter((not chr(i).isalpha() for i in range(0x110000)), np.int32, 0x110000)
         for i, c in enumerate(letters, 2):
             for form in {c, c.upper()}:
                 if len(form) == 1:
                     self.code[ord(form)] = i
-        tables, self.roots, self.bits, base = [], [], [], 0
-        for lang in self.langs:
+        parts, self.bits = [], []
+        self.begin = np.zeros((len(self.langs), width), np.int64)  # the state after a phrase's first character
+        states = places = 0
+        for k, lang in enumerate(self.langs):
             codes, _ = self.codes([samples[lang]])
-            go = suffix_automaton(codes.tolist())
-            # One more state: after a character that the sample lacks, which is a phrase of its own.
-            alone = len(go)
-            begin = np.full(self.width, base + alone * self.width, np.int64)
+            # One more state: after a character that the sample lacks.
+            go = [*suffix_automaton(codes.tolist()), {}]
+            base, owner, target = displaced(go, width)
+            self.begin[k] = states + len(go) - 1
             for c, to in go[0].items():
-                begin[c] = base + to * self.width
-            # A negative entry, ~target, ends a phrase; targets are places of a state's row in the joint table. Only the
-            # root, where a walk starts, begins a phrase without ending one.
-            t = np.tile(~begin, (len(go) + 1, 1))
-            t[0] = begin
-            for s, step in enumerate(go):
-                for c, to in step.items():
-                    t[s, c] = base + to * self.width
-            tables.append(t.astype(np.int32).ravel())
-            self.roots.append(base)
+                self.begin[k, c] = states + to
+            parts.append((base + places, np.where(owner < 0, -1, owner + states), target + states))
             self.bits.append(np.log2(max(2, len(codes))))
-            base += t.size
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
-        self.bits = np.array(self.bits)
+            states, places = states + len(go), places + len(owner)
+        kind = np.int32 if max(states, places) < 2**31 else np.int64
+        self.base, self.owner, self.target = (np.concatenate(c).astype(kind) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, kind),) * 3
+        self.begin, self.bits = self.begin.astype(kind), np.array(self.bits)
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Codes of all texts together, runs of separators as one, and each text's number of them."""
@@ -144,25 +180,69 @@ class CrossParser:
         start = np.repeat(np.cumsum(lengths) - lengths, lanes) + nth * SEGMENT
         size = np.minimum(SEGMENT, np.repeat(lengths, lanes) - nth * SEGMENT)
         counts = np.empty((len(self.langs), len(size)), np.int64)
-        for a in range(0, len(size), LANES):
-            counts[:, a : a + LANES] = self._walk(codes, start[a : a + LANES], size[a : a + LANES])
-        return np.add.reduceat(counts, first, axis=1).T, lengths
-
-    def _walk(self, codes, start, size) -> np.ndarray:
+        most, carry = max(1, HELD // (SEGMENT * max(1, len(self.langs)))), self.begin[:, 0]
+        for a in range(0, len(size), most):
+            part = slice(a, a + most)
+            counts[:, part], carry = self._walk(codes, start[part], size[part], nth[part] > 0, carry)
+        return np.add.reduceat(counts, first, axis=1).T + 1, lengths
+
+    def _step(self, state: np.ndarray, code: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(states after a character, whether a phrase ended before it). ``fresh``: the states if one did."""
+        at = self.base[state] + code
+        ended = self.owner[at] != state
+        return np.where(ended, fresh, self.target[at]), ended
+
+    def _walk(self, codes, start, size, goes_on, carry) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that end inside each segment, by language; the states at the last one's end).
+
+        ``goes_on``: whether a segment continues the one before it; ``carry``: the states in which the one before the first ends.
+        """
         order = np.argsort(-size, kind="stable")
-        start, size = start[order], size[order]
-        alive = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(size), axis=1)
-        ended = np.ones(state.shape, np.int32)  # the phrase that is open at the end
-        for t in range(size[0]):
+        from_, long = start[order], size[order]
+        alive = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")
+        state = self.begin[:, codes[from_]]
+        trace = np.empty((long[0], *state.shape), state.dtype)  # ~state where a phrase ended
+        trace[0] = state
+        ended = np.zeros(state.shape, np.int64)
+        for t in range(1, long[0]):
             n = alive[t]
-            go = self.table[state[:, :n] + codes[start[:n] + t]]
-            flag = go >> 31
-            ended[:, :n] -= flag
-            state[:, :n] = go ^ flag
-        out = np.empty_like(ended)
-        out[:, order] = ended
-        return out
+            code = codes[from_[:n] + t]
+            go, new = self._step(state[:, :n], code, self.begin[:, code])
+            ended[:, :n] += new
+            state[:, :n] = go
+            trace[t, :, :n] = np.where(new, ~go, go)
+        lane = np.empty(len(order), np.int64)  # a segment's place in the trace
+        lane[order] = np.arange(len(order))
+        alone = state[:, lane]  # the states at the ends of segments that are walked from their own beginnings
+        ends, more = alone.copy(), np.zeros((len(self.langs), len(order)), np.int64)
+        # Once more from where the segments before really end, until both walks are in one state.
+        lang, seg = np.nonzero(np.broadcast_to(goes_on, ends.shape))
+        while len(seg):
+            now = np.where(seg > 0, ends[lang, seg - 1], carry[lang])
+            l, s, t = lang, seg, 0
+            gained, changed_l, changed_s = np.zeros(len(seg), np.int64), [], []
+            place = np.arange(len(seg))
+            while len(s):
+                code = codes[start[s] + t]
+                go, new = self._step(now, code, self.begin[l, code])
+                before = trace[t, l, lane[s]]
+                gained[place] += new.astype(np.int64) - (before < 0)
+                apart = go != np.where(before < 0, ~before, before)
+                done = ~apart | (size[s] == t + 1)
+                end = np.where(apart, go, alone[l, s])
+                differs = done & (ends[l, s] != end)  # the next segment begins in another state
+                ends[l[differs], s[differs]] = end[differs]
+                changed_l.append(l[differs])
+                changed_s.append(s[differs])
+                stay = ~done
+                l, s, now, place, t = l[stay], s[stay], go[stay], place[stay], t + 1
+            more[lang, seg] = gained
+            lang, seg = np.concatenate(changed_l), np.concatenate(changed_s) + 1
+            on = seg < len(size)
+            lang, seg = lang[on], seg[on]
+            on = goes_on[seg]
+            lang, seg = lang[on], seg[on]
+        return ended[:, lane] + more, ends[:, -1]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))

@@ -6,6 +6,7 @@ import itertools
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -107,11 +108,49 @@ def test_quality_without_labels_and_odd_texts(spark):
     assert quality.classify_quality(docs(spark, []), none).count() == 0
 
 
-def test_the_risk_never_turns_negative():
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((50, len(quality.NAMES)))
-    s = quality.fit(x, x[:5], 0.97)
-    assert np.isfinite(s.weights).all() and np.isfinite(s.bias)
+def risk_rows(spark, n=400, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, quality.WIDTH)).astype(np.float32)
+    good = x[:, 0] + 0.3 * rng.standard_normal(n) > -0.8
+    rows = [(False, int(i % 2), x[i].tobytes()) for i in range(n)] + [(True, int(i % 2), x[i].tobytes()) for i in range(n) if good[i] and i % 3]
+    return x.astype(np.float64), good, spark.createDataFrame([(p, h, bytearray(b)) for p, h, b in rows], "positive boolean, half int, x binary").repartition(5)
+
+
+@pytest.mark.parametrize("prior", [0.5, 0.95])
+def test_the_non_negative_risk_is_at_its_minimum(spark, prior):
+    """Against plain numpy over all rows: no small step in any direction lessens the risk, and its negative part isn't below zero."""
+    x, good, frame = risk_rows(spark)
+    scorer = quality.Scorer(x.mean(axis=0), x.std(axis=0) + 0.02, None, prior)
+    w = quality.fit(quality.Rows(frame), scorer, prior)
+    u = scorer.rows(x)
+    p = u[good & (np.arange(len(x)) % 3 > 0)]
+    loss = lambda z: np.log1p(np.exp(-np.abs(z))) + np.maximum(-z, 0)
+
+    def risk(w):
+        negative = loss(-(u @ w)).mean() - prior * loss(-(p @ w)).mean()
+        return prior * loss(p @ w).mean() + max(0, negative) + (quality._DECAY * w * w).sum() / 2, negative
+
+    least, negative = risk(w)
+    assert negative > -2 * quality.CLOSE
+    rng = np.random.default_rng(1)
+    assert all(risk(w + s)[0] > least - 2e-3 for s in rng.standard_normal((300, len(w))) * rng.choice([1e-3, 1e-2, 1e-1], (300, 1)))
+
+
+def test_the_prior_is_estimated_from_the_rows():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.6, 0.9):
+        score = lambda n, good: np.clip(rng.normal(20 if good else 8, 4, n), 0, 31).astype(int)
+        positives = np.bincount(score(20_000, True), minlength=32)
+        unlabelled = np.bincount(np.concatenate([score(int(40_000 * share), True), score(int(40_000 * (1 - share)), False)]), minlength=32)
+        assert abs(quality.best_bin(positives, unlabelled) - share) < 0.04
+
+
+def test_sums_in_two_rounds_are_the_same(spark, monkeypatch):
+    x, good, frame = risk_rows(spark, 100)
+    count = lambda x, half: np.array([len(x), (half == 1).sum(), x.sum()])
+    once = quality.Rows(frame).summed(count, 3)
+    monkeypatch.setattr(quality, "SUMS", 2)
+    assert np.allclose(quality.Rows(frame).summed(count, 3), once) and once[0, 0] == 100 and once[0, 1] == 50
 
 
 # token counts
@@ -307,17 +346,33 @@ def slow_top_k(rows, k=5, every=5):
 
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(top_k, "BLOCK_ROWS", 60)
-    monkeypatch.setattr(top_k, "PACK_QUERIES", 7)
     rng = np.random.default_rng(4)
     rows = [(i, np.round(rng.standard_normal(6), 1).astype(np.float32).tolist()) for i in range(150)]
     rows += [(1000 + i, rows[i][1]) for i in range(30)]  # ties
     rows += [(2000, None), (2005, [float("nan")] * 6), (2010, [None] + [1.0] * 5), (None, [1.0] * 6), (2015, [1.0, 2.0]), (2016, [-1.0, 3.0]), (2020, [0.0] * 6), (2025, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("size", "block", "q", "rank", "score")})
-    got = top_k.exact_top_k(df, F.col("vec_id") % 5 == 0)
+    got = top_k.exact_top_k(df, F.col("vec_id") % 5 == 0).drop("exact")
     assert sorted(map(tuple, got.collect())) == sorted(slow_top_k(rows))
     assert top_k.exact_top_k(df.where("false"), F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_top_k_of_vectors_of_any_size(spark, monkeypatch):
+    """No finite vector is left out, scores beyond 64 bits are ranked exactly, and blocks and packs don't change results."""
+    monkeypatch.setattr(top_k, "HELD", 64)
+    big = [8388607.0, 8388608.0, 9e6, 2.0**53 + 2, -(2.0**60), 1e19, -1e19, 1e300, -1e300, 1.7e308, 5e-324, -5e-324, 0.1]
+    rows = [(i, [v, 1.0, -v / 3, 1.0]) for i, v in enumerate(big * 2)] + [(100 + i, [float(i % 3)] * 4) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = lambda v: Fraction(v) * 256 // 1
+    for r in (got := top_k.exact_top_k(df, F.col("vec_id") % 5 == 0, k=7).collect()):
+        assert r.score == max(-(2**63), min(2**63 - 1, int(r.exact or r.score))) and (r.exact is None) == (-(2**63) <= int(r.exact or r.score) < 2**63)
+    expected = []
+    for q, x in rows:
+        if q % 5 == 0:
+            scores = sorted((-sum(whole(a) * whole(b) for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q)
+            expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:7])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, int(r.exact or r.score)) for r in got) == sorted(expected)
+
+
 # mixing
 
 
@@ -367,6 +422,44 @@ def test_phrases_are_longest_matches(text, sample):
     assert sizes.tolist() == [len(plain), len(squeezed(text + text)), len(plain)]
 
 
+@pytest.mark.parametrize("held", [language.HELD, 4 * language.SEGMENT])
+def test_phrases_run_on_over_segments(monkeypatch, held):
+    """Texts of many segments, against plain Python over the whole text; also where a walk holds two segments at a time."""
+    monkeypatch.setattr(language, "HELD", held)
+    rng = np.random.default_rng(8)
+    for letters in ("ab", "abcdefgh ", "abc "):
+        word = lambda n, of=letters: re.sub(" +", " ", "".join(rng.choice(list(of), n)))
+        samples = {"x": word(600), "y": word(60), "z": word(9)}
+        texts = [word(n, letters + "q") for n in (4000, 255, 1, 256, 257, 512, 1500)]
+        counts, sizes = language.CrossParser(samples).phrases(texts)
+        assert counts.tolist() == [[slow_phrases(t, samples[k]) for k in "xyz"] for t in texts] and sizes.tolist() == list(map(len, texts))
+
+
+def test_large_alphabets_are_kept_whole():
+    many = "".join(chr(0x4E00 + i) for i in range(3000))
+    parser = language.CrossParser({"x": many, "y": "abc"})
+    text = many[1000:1010] + many[5:9] + "b" + many[2999]
+    assert parser.phrases([text])[0].tolist() == [[4, len(text)]]
+    assert len(parser.owner) < 4 * 3000 + 4 * 3000  # as many places as transitions, not states times letters
+
+
+def test_language_of_ties_repeats_and_clashing_columns(spark):
+    rows = [(i, "same words here", lang) for i, lang in enumerate(["b", "a"] * 40)] + [(500, "same words", None)] * 3 + [(None, "same words", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("x", "lang_pred", "held_out", "score", "id", "order", "rank", "reach", "at", "identified")})
+    samples = language.learn_samples(d)
+    assert set(samples) == {"a", "b"}
+    tied = language.CrossParser({k: "same words here" for k in "ba"})
+    assert tied.predict(["same words"])[0] == ["a"]
+    got = language.identify_languages(d)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == len(rows)
+    assert len({(r.lang_pred, r.score) for r in got.where("doc_id = 500").collect()}) == 1
+    kept = language.keep_identified(d)
+    assert kept.columns == d.columns and kept.count() == len(rows)
+    with pytest.MonkeyPatch.context() as m, pytest.raises(ValueError, match="more than 1 languages"):
+        m.setattr(language, "LANGUAGES", 1)
+        language.learn_samples(d)
+
+
 def test_languages(spark):
     rng = np.random.default_rng(6)
     talk = lambda parts: " ".join("".join(rng.choice(parts, 3)) for _ in range(30))

@@ -102,7 +102,7 @@ def test_pipeline_stage_by_stage(spark, texts, tmp_path):
             expected = Counter(i for i, t in rows.items() if parser.predict([t])[0][0] != "und")
         elif name == "quality":
             scorer = quality.learn(docs, labels)
-            expected = Counter(i for i, t in rows.items() if scorer.scores(quality.features(t)[None])[0] >= quality.THRESHOLD)
+            expected = Counter(i for i, t in rows.items() if scorer.scores(quality.features(t).astype(np.float32)[None].astype(float))[0] >= quality.THRESHOLD)
         elif name == "near_duplicates":
             x = np.array([slow_fingerprint(t) for t in rows.values()], np.uint64)
             keys = list(rows)
