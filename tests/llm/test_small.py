@@ -173,14 +173,22 @@ def test_scan_stitches_blocks(spark, files, size):
     assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
 
 
-def test_counts_of_odd_texts(spark, tmp_path):
-    docs(spark, ODD).repartition(3).write.parquet(f"{tmp_path}/d")
-    d = spark.read.parquet(f"{tmp_path}/d")
+@pytest.mark.parametrize("file_bytes", [token_scan.FILE_BYTES, 64])
+def test_counts_of_odd_texts(spark, monkeypatch, file_bytes):
+    """Tables that come out of a shuffle, unlike each time; also with files of few documents."""
+    monkeypatch.setattr(token_scan, "FILE_BYTES", file_bytes)
     bpe = token_scan.encoding()
-    got = token_scan.count_tokens(d).collect()
-    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((i, len(bpe.encode_ordinary(t or ""))) for i, t in ODD)
-    d.where("false").write.parquet(f"{tmp_path}/none")
-    assert token_scan.count_tokens(spark.read.parquet(f"{tmp_path}/none")).count() == 0
+    for d in (docs(spark, ODD).repartition(3), docs(spark, ODD).orderBy(F.rand()), docs(spark, ODD).withColumn("doc_id", F.concat(F.lit("é "), F.col("doc_id")))):
+        got = token_scan.count_tokens(d).collect()
+        name = (lambda i: i) if dict(d.dtypes)["doc_id"] == "bigint" else (lambda i: None if i is None else f"é {i}")
+        assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter((name(i), len(bpe.encode_ordinary(t or ""))) for i, t in ODD)
+        assert len({(r.file_no, r.part, r.ordinal) for r in got}) == len(ODD)
+    assert token_scan.count_tokens(docs(spark, [])).count() == 0
+
+
+def test_separators_that_ids_could_hold_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="separator"):
+        token_scan.write_token_files(docs(spark, ODD), f"{tmp_path}/t", separator=0x3030)
 
 
 # simhash
@@ -490,6 +498,9 @@ def test_url_parts_and_rules(spark):
         "http://b.org#spam-farm.": ("b.org", "", None, "allow"),
         "no scheme": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow"), "://": ("", "", None, "allow"),
         "http://x.org/wp-login.php?a": ("x.org", "/wp-login.php", None, "block"),
+        "http://a.casino-win.org/x": ("a.casino-win.org", "/x", None, "block"), "http://a.casinox.org/x": ("a.casinox.org", "/x", None, "allow"),
+        "http://x.org/a/setup.exe#1": ("x.org", "/a/setup.exe", None, "block"), "http://x.org/a.exe.html": ("x.org", "/a.exe.html", None, "allow"),
+        "http://x.org/t?b=1&SessionId=9": ("x.org", "/t", None, "block"), "http://x.org/login/help": ("x.org", "/login/help", None, "block"),
     }
     rows = [(i, u) for i, u in enumerate([*urls, *urls])]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
@@ -497,8 +508,49 @@ def test_url_parts_and_rules(spark):
     assert got == {i: urls[u] for i, u in rows} and url_rules.judge_urls(df.where("false")).count() == 0
 
 
-@given(st.lists(st.sampled_from(["spam-farm", "casino", "wp-login.php", "a.b", "?affiliate_id=9", "http://", "/", ".org"]), max_size=6).map("".join))
-@settings(max_examples=300, deadline=None)
+PARTS = ["spam-farm", "casino", "wp-login.php", "a.b", "?affiliate_id=9", "http://", "/", ".org", ".zip", "é", "-", "x", "&sessionid=", "/login", "LOGIN"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=6).map("".join))
+@settings(max_examples=500, deadline=None)
 def test_the_index_changes_nothing(url):
     judge = url_rules.Judge(url_rules.SITE_RULES, url_rules.PATTERN_RULES, {"spam": 5, "farm": 2, "login": 1})
     assert judge.pattern(url) == ("block" if any(re.search(r.pattern, url.lower()) for r in url_rules.PATTERN_RULES) else "allow")
+
+
+def test_few_rules_are_tried_and_some_decide():
+    """Every production rule has a token, hits a url of its own, and is one of few that run there."""
+    judge = url_rules.Judge((), url_rules.PATTERN_RULES, {})
+    assert not judge.always and len(url_rules.PATTERN_RULES) > 100
+    urls = [f"http://a.{w}.org/" for w in url_rules.HOST_WORDS] + [f"http://a.org/b/{w}/c" for w in url_rules.PATHS]
+    urls += [f"http://a.org/b?{w}=1" for w in url_rules.PARAMETERS] + [f"http://a.org/b.{w}" for w in url_rules.FILES]
+    assert len(urls) == len(url_rules.PATTERN_RULES) and all(judge.pattern(u) == "block" and len(judge.candidates(u)) < 4 for u in urls)
+    assert all(judge.pattern(u) == "allow" and not judge.candidates(u) for u in ("http://a.org/en/12.html", "http://news.org/sports?page=2", "http://sussex.ac/"))
+
+
+ATOMS = st.sampled_from(["ab", "c9", "/", r"\.", "[.-]", "[a-c]", "[^a-z0-9]", ".", "^", "$", r"\b", "é", "[^/]*", "x?", "(/ab)?", "(ab|/c)", "([/?]|$)", "(-a-)+", "c*"])
+
+
+@given(st.lists(ATOMS, min_size=1, max_size=5).map("".join), st.lists(st.sampled_from(["ab", "c9", "/", ".", "-", "a", "c", "x", "é", "?", "-a-"]), max_size=8).map("".join))
+@settings(max_examples=3000, deadline=None)
+def test_required_tokens_are_in_every_hit(pattern, text):
+    if re.search(pattern, text):
+        assert set(url_rules.required_tokens(pattern)) <= set(re.findall(url_rules.TOKEN, text))
+
+
+def test_tokens_follow_from_patterns():
+    expected = {
+        r"://([^/?#]*[.-])?casino([.-][^/?#]*)?([/?#]|$)": ("casino",), r"/wp-login\.php([?#]|$)": ("wp", "login", "php"), r"[?&]id=[a-z]+": ("id",),
+        "foo": (), "^foo$": ("foo",), "/foo": (), "/(foo|bar)/": (), "/(ab)?cd/": (), "a+/x1/": ("x1",),
+    }
+    assert {p: url_rules.required_tokens(p) for p in expected} == expected
+
+
+def test_rules_from_a_table(spark):
+    many = [("block", f"/item{i}x/") for i in range(3000)] + [("allow", "/item7x/ok"), (None, "/a/"), ("block", None), ("block", "/item7x/")]
+    rules = spark.createDataFrame(many, "verdict string, pattern string")
+    pages = spark.createDataFrame([(i, f"http://a.org/item{i}x/") for i in range(2990, 3010)] + [(7, "http://a.org/item7x/ok")], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_rules.judge_urls(pages, patterns=rules).collect()}
+    assert got == {**{i: "block" if i < 3000 else "allow" for i in range(2990, 3010)}, 7: "block"}
+    with pytest.raises(ValueError, match="verdict"):
+        url_rules.rules_of([url_rules.PatternRule("maybe", "x")])
