@@ -6,12 +6,14 @@ comparison, and stitches documents that cross blocks with a prefix scan: running
 running maxima of their places give the starts. Only a block's separator places leave Python, and only one row for each
 block enters the scan.
 
-``write_token_files`` makes such files: a document's ids are the line, the separator's two bytes the line's end. Files
-are as large as the tasks' shares of the table; they must stay below 2 GB each to be read.
+``write_token_files`` makes such files: a document's ids are the line, the separator's two bytes the line's end. A task
+begins another file when ``FILE_BYTES`` are full, so a file, which is read as one row, is larger only by its last
+document. Beside the tokens, in the same task and from the same rows, it writes each document's id with its place in its
+file; so it doesn't matter in which order a table's rows come, or whether they would come so again.
 
 Defined results: null texts are empty; an empty text has 0 tokens (its separator is not counted). Ids after the last
-separator are a document too. A file without any document gives no row. Repeated rows are separate documents. An odd
-byte at a file's end is ignored.
+separator are a document too. A file without any document gives no row. Repeated rows are separate documents; a null id
+stays null. An odd byte at a file's end is ignored. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,10 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.store import Folder
 from .common import by_small_batches, cut, remove, scratch
 
 SEPARATOR = 50_256
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS, FILE_BYTES = 1 << 18, 1 << 25
+#: Characters of an id's record: its place, a blank, and the id's UTF-8 in hexadecimal digits, or a hyphen for none.
+_RECORD = b"0123456789abcdef -"
 _KEPT: dict[str, object] = {}
 
 
@@ -45,22 +50,47 @@ def encoding(path: str | None = None):
     return _KEPT[path]
 
 
-def token_bytes(text, ranks: str | None = None):
-    """The ids of a text column, 16 bits each."""
+def write_token_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None, separator: int = SEPARATOR) -> None:
+    """Flat files under ``path/kind=0/part=N``, N counting each task's files, and the ids' records under ``path/kind=1``."""
+    end = separator.to_bytes(2, "little")
+    if all(b in _RECORD for b in end):
+        raise ValueError("this separator could occur in the records of ids")
 
-    @F.arrow_udf("binary")
-    def run(batch: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoding(ranks)
-        return pa.array([bpe.encode_to_numpy(t.as_py() or "").astype("<u2").tobytes() for t in batch], pa.binary())
-
-    return run(text)
-
-
-def write_token_files(docs: DataFrame, path: str, text: str = "text", ranks: str | None = None, separator: int = SEPARATOR) -> None:
-    """One flat file for each task; the documents in the task's order."""
-    line_end = separator.to_bytes(2, "little").decode("latin-1")
-    ids = by_small_batches(docs).select(token_bytes(F.col(text), ranks).cast("string").alias("value"))
-    ids.write.option("lineSep", line_end).option("encoding", "ISO-8859-1").text(path)
+        part = place = size = 0
+        for batch in batches:
+            out = []
+            for name, t in zip(*batch.columns, strict=True):
+                if size >= FILE_BYTES:
+                    part, place, size = part + 1, 0, 0
+                ids = bpe.encode_to_numpy(t.as_py() or "").astype("<u2").tobytes()
+                name = name.as_py()
+                out.append((0, part, place, ids))
+                out.append((1, part, place, f"{place} {'-' if name is None else name.encode().hex()}".encode()))
+                place, size = place + 1, size + len(ids) + 2
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["kind", "part", "place", "value"])
+
+    rows = by_small_batches(docs).select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    lines = rows.mapInArrow(encode, "kind int, part int, place bigint, value binary").sortWithinPartitions("kind", "part", "place")
+    files = lines.select("kind", "part", F.col("value").cast("string").alias("value")).write.partitionBy("kind", "part")
+    files.option("maxRecordsPerFile", 0).option("lineSep", end.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+
+def file_of(path) -> list:
+    """Columns file_no (the task) and part of a file's path."""
+    pattern = r"part=(\d+)/part-(\d+)-"
+    return [F.regexp_extract(path, pattern, 2).cast("int").alias("file_no"), F.regexp_extract(path, pattern, 1).cast("int").alias("part")]
+
+
+def read_ids(spark: SparkSession, path: str, separator: int = SEPARATOR) -> DataFrame:
+    """file_no, part, ordinal, name (a document's id as text) of all records under a path."""
+    end = separator.to_bytes(2, "little").decode("latin-1")
+    lines = spark.read.option("lineSep", end).option("encoding", "ISO-8859-1").text(path).select("value", F.col("_metadata.file_path").alias("at"))
+    name = F.substring_index("value", " ", -1)
+    return lines.select(*file_of(F.col("at")), F.substring_index("value", " ", 1).cast("bigint").alias("ordinal"), F.when(name != "-", F.decode(F.unhex(name), "UTF-8")).alias("name"))
 
 
 def blocks_of(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -106,19 +136,22 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR, block_tokens: int = BLOC
 
 
 def count_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ranks: str | None = None) -> DataFrame:
-    """doc_id, file_no, ordinal, start, n_tokens of every document of a table that is read from files.
+    """doc_id, file_no, part, ordinal, start, n_tokens of every document.
 
-    The table is written as flat token files in the shared folder and these are scanned. A file and ordinal tell the
-    document, as a scan deals out a table's rows the same way each time; the counts of both sides are compared.
+    The table is written as flat token files in the shared folder, these are scanned, and removed. A task's number, its
+    file's and a document's place there tell the document.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema[doc_id].dataType
     path = scratch(spark, "tokens")
-    write_token_files(docs, path, text, ranks)
-    found = scan(blocks_of(spark, path)).withColumn("file_no", F.regexp_extract("file", r"part-(\d+)-", 1).cast("int"))
-    place = F.monotonically_increasing_id()  # task, then row
-    names = docs.select(F.col(doc_id).alias("doc_id"), F.shiftright(place, 33).cast("int").alias("file_no"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"))
-    out = cut(names.join(found.drop("file"), ["file_no", "ordinal"], "full").select("doc_id", "file_no", "ordinal", "start", "n_tokens"))
-    if out.where("n_tokens is null").limit(1).count() or out.count() != docs.count():
-        raise RuntimeError("the table's rows were dealt out differently when they were written")
+    write_token_files(docs, path, doc_id, text, ranks)
+    if not Folder(spark, path).exists("kind=0"):
+        remove(spark, path)
+        schema = f"doc_id {kind.simpleString()}, file_no int, part int, ordinal bigint, start bigint, n_tokens bigint"
+        return spark.createDataFrame([], schema)
+    found = scan(blocks_of(spark, f"{path}/kind=0")).select(*file_of(F.col("file")), "ordinal", "start", "n_tokens")
+    names = read_ids(spark, f"{path}/kind=1")
+    out = cut(names.join(found, ["file_no", "part", "ordinal"], "full").select("name", "file_no", "part", "ordinal", "start", "n_tokens", F.col("name").cast(kind).alias("doc_id")))
+    if out.where("start is null or n_tokens is null").limit(1).count():
+        raise RuntimeError("token files and records of ids don't agree")
     remove(spark, path)
-    return out
+    return out.select("doc_id", "file_no", "part", "ordinal", "start", "n_tokens")
