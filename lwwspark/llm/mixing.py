@@ -1,21 +1,27 @@
 """Mixing by soft membership: rates for documents so that expected domain totals match target weights.
 
 A naive Bayes classifier, learned from a table that labels some documents with a domain, gives each document posteriors p
-over the domains. Up to ``TERMS`` words, those that tell most by a test of proportions, each speak for one domain; the
-evidence that a document's terms give for a domain has one of four levels, and the levels' frequencies are learned; a document of n words counts n * p words towards them. Then projected gradient
+over the domains. Words that tell domains apart by a test of proportions (``terms`` at most) each speak for one domain; the
+evidence that a document's terms give for a domain has one of four levels, and the levels' frequencies are learned; a
+document of n tokens counts n * p tokens towards them. Then projected gradient
 descent (accelerated, restarted when it stops helping) minimises the squared distance of the domains' expected totals
 from their targets, weighted by the inverse Gram matrix of the posteriors, over nonnegative rates, starting from 1 for
 every document. Each step sums K numbers over the table and moves every rate by its posteriors' share of the gradient.
 
+Tokens are what the pattern of the public byte-level vocabularies cuts a text into (words with the blank before them,
+numbers, runs of signs, white space), counted by the regular expression itself; or the caller's own, from a column.
+
 DataFrame functions only: terms are found by a set intersection inside the row, so texts are neither exploded nor shuffled
-(but for the sample that the classifier learns from); steps run over a narrow checkpointed table; the driver sees K sums a
+(but for the sample that the classifier learns from); steps run over a narrow table; the driver sees K sums a
 step and the terms with their counts.
 
-Fitting uses at most about ``LABELLED`` labelled rows, those with the smallest hashes of their ids.
+Fitting uses at most about ``labelled_rows`` labelled rows, those with the smallest hashes of their ids, and the ``terms``
+best words among those that ``least`` of these rows have; all three are parameters. Posteriors, tokens and sums are taken
+over all rows and whole texts.
 
-Defined results: null and empty texts have 0 words and the domains' prior as posteriors. Labels with a null id or a
+Defined results: null and empty texts have 0 tokens and the domains' prior as posteriors. Labels with a null id or a
 domain that has no target don't count; without any label the posteriors are uniform. Rows are judged one by one, so
-repeated rows get equal rates. If nothing has words, rates are 1. Targets that can't be reached are approached as far as
+repeated rows get equal rates. If nothing has tokens, rates are 1. Targets that can't be reached are approached as far as
 least squares goes. An empty table gives an empty result.
 """
 
@@ -29,9 +35,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut, forget, fresh
 
-TERMS, LABELLED, STEPS, NEAR = 512, 12_000, 60, 1e-4
+#: The bounds of the fit, and of the descent: steps, and how near the targets is near enough.
+TERMS, LEAST, LABELLED = 512, 5, 12_000
+STEPS, NEAR = 60, 1e-4
+#: The pattern of the public byte-level vocabularies. Fixed value.
+TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SURE, STRONG = 4.0, 3.0  # standard deviations, and times as often as in the first domain, for a word to be a term
 GRADES = (3.0, 8.0)  # bounds of evidence between levels
 
@@ -41,6 +51,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \n]"), "")
 
 
+def tokens_of(text: Column) -> Column:
+    """Number of tokens; 0 for null and empty texts."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TOKEN))
+
+
 def literal(values, digits: str = ".4f") -> Column:
     """A constant array; folded once when the plan is made."""
     return F.split(F.lit(",".join(format(float(v), digits) for v in values)), ",").cast("array<double>")
@@ -75,7 +90,7 @@ class Judge:
         return F.array(*out)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str, text: str) -> Judge:
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str, text: str, terms: int = TERMS, least: int = LEAST, labelled_rows: int = LABELLED) -> Judge:
     """Fits the classifier. A document counts a word once; the words whose presence tells most become terms."""
     k = len(domains)
     order = F.xxhash64("id").cast("double")
@@ -83,8 +98,8 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str,
     n = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(n.values())
     prior = np.log([(n.get(d, 0) + 1) / (total + k) for d in domains])
-    reach = F.lit(-(2.0**63) + 2.0**64 * min(1.0, LABELLED / max(1, total)))
-    chosen = F.broadcast(known.where(order <= reach))  # about LABELLED ids: a broadcast of bounded size
+    reach = F.lit(-(2.0**63) + 2.0**64 * min(1.0, labelled_rows / max(1, total)))
+    chosen = F.broadcast(known.where(order <= reach))  # about labelled_rows ids: a broadcast of bounded size
     rows = docs.select(F.col(doc_id).alias("of"), F.col(text).alias("text")).join(chosen, F.col("of") == F.col("id"))
     size = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     sizes = [size.get(d, 0) for d in domains]
@@ -100,7 +115,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str,
         times = ((F.col(f"n{i}") + 0.5) / (sizes[i] + 1)) / ((F.col("n0") + 0.5) / (sizes[0] + 1))
         tells.append(F.when(times >= STRONG, sure))
     counts = counts.withColumn("tells", F.array_max(F.array(F.lit(0.0), *tells)))
-    best = counts.where((F.col("n") >= 5) & (F.col("tells") >= SURE)).orderBy(F.desc("tells"), "word").limit(TERMS).collect()
+    best = counts.where((F.col("n") >= least) & (F.col("tells") >= SURE)).orderBy(F.desc("tells"), "word").limit(terms).collect()
     at = np.array([[r[f"n{i}"] for r in best] for i in range(k)], float).reshape(k, len(best))
     odds = np.log((at + 0.5) / (np.array(sizes)[:, None] + 1))
     odds = (odds - odds[0])[1:]
@@ -171,7 +186,8 @@ def solve(table: DataFrame, p: list[str], words: str, goal: np.ndarray) -> DataF
         pending.append((metric @ gap, (age - 1) / new))
         age, before = new, error
         if len(pending) == 12 and step < STEPS - 1:
-            state, pending = cut(stepped(state, p, pending)), []
+            older, state, pending = state, cut(stepped(state, p, pending)), []
+            forget(older)
     return stepped(state, p, pending).drop("lead")
 
 
@@ -189,25 +205,27 @@ def copies_of(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def rated(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str, text: str) -> tuple[list[str], DataFrame]:
-    """(posterior columns, doc_id, text_hash, n_words, posteriors, rate of every document)."""
+def rated(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str, text: str, tokens: str | None = None, **bounds) -> tuple[list[str], DataFrame]:
+    """(posterior columns; doc_id, text_hash, n_tokens, posteriors, rate of every document)."""
     domains, goal = goal_of(targets)
-    judge = learn(docs, labelled, domains, doc_id, text)
+    judge = learn(docs, labelled, domains, doc_id, text, **bounds)
     p = [f"p{i}" for i in range(len(domains))]
-    words = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(F.col(text)).alias("words"))
-    rows = words.select("doc_id", "text_hash", F.size("words").alias("n_words"), judge.levels(F.col("words")).alias("levels"))
-    rows = rows.select("doc_id", "text_hash", "n_words", judge.logits(F.col("levels")).alias("logits"))
+    n = F.coalesce(F.col(tokens).cast("bigint"), F.lit(0).cast("bigint")) if tokens else tokens_of(F.col(text)).cast("bigint")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), n.alias("n_tokens"), words_of(F.col(text)).alias("words"))
+    rows = rows.select("doc_id", "text_hash", "n_tokens", judge.levels(F.col("words")).alias("levels"))
+    rows = rows.select("doc_id", "text_hash", "n_tokens", judge.logits(F.col("levels")).alias("logits"))
     table = cut(_softmax(rows, "logits", p).drop("logits"))
-    return p, solve(table, p, "n_words", goal)
+    return p, solve(table, p, "n_tokens", goal)
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, posteriors (by domain name, sorted), rate, copies for every document.
+def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], doc_id: str = "doc_id", text: str = "text", tokens: str | None = None, **bounds) -> DataFrame:
+    """doc_id, n_tokens, posteriors (by domain name, sorted), rate, copies for every document.
 
-    ``labelled``: doc_id and domain. ``targets``: the weight of each domain in the mixture, which has as many words as docs.
+    ``labelled``: doc_id and domain. ``targets``: the weight of each domain in the mixture, which has as many tokens as
+    docs. ``tokens``: a column of docs that has their numbers. ``bounds``: terms, least, labelled_rows.
     """
-    p, rows = rated(docs, labelled, targets, doc_id, text)
-    return rows.select("doc_id", "n_words", F.array(*p).alias("posteriors"), "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
+    p, rows = rated(docs, labelled, targets, doc_id, text, tokens, **bounds)
+    return rows.select("doc_id", "n_tokens", F.array(*p).alias("posteriors"), "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float]) -> DataFrame:

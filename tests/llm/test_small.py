@@ -388,14 +388,67 @@ def test_mixing_meets_reachable_targets(spark):
     rows = [(i, " ".join([f"a{i % 7}", f"a{i % 5}", "x"] * (i % 4 + 1)) if i % 3 else " ".join([f"b{i % 7}", f"b{i % 5}", "x"] * (i % 4 + 1))) for i in range(300)]
     labels = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(0, 300, 2)] + [(1, "other"), (None, "a")], "doc_id long, domain string")
     got = mixing.mix(docs(spark, rows), labels, {"a": 1, "b": 1}).collect()
-    sums = np.sum([np.array(r.posteriors) * r.n_words * r.rate for r in got], axis=0)
-    assert np.allclose(sums / sum(r.n_words for r in got), 0.5, atol=1e-3) and all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+    sums = np.sum([np.array(r.posteriors) * r.n_tokens * r.rate for r in got], axis=0)
+    assert np.allclose(sums / sum(r.n_tokens for r in got), 0.5, atol=1e-3) and all(r.rate >= 0 and r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
     assert all((r.posteriors[0] > 0.5) == bool(r.doc_id % 3) for r in got)
     d = docs(spark, rows)
     kept = mixing.mixed(d, labels, {"a": 1, "b": 1})
     assert kept.columns == d.columns and Counter(r.doc_id for r in kept.collect()) == Counter({r.doc_id: r.copies for r in got if r.copies})
 
 
+def test_posteriors_and_tokens_are_those_of_plain_python(spark):
+    """Terms, levels, posteriors and tokens against a naive Bayes classifier written out in Python."""
+    rng = np.random.default_rng(11)
+    domains, texts, labels = ["clean", "low", "toxic"], {}, {}
+    for i in range(240):
+        d = int(rng.choice(3, p=[0.6, 0.25, 0.15]))
+        words = [f"w{rng.integers(40)}" for _ in range(12)] + [f"{domains[d]}{rng.integers(6)}" for _ in range(int(rng.integers(0, 5)))]
+        texts[i] = (" " if i % 3 else "\n").join(rng.permutation(words)) + ("" if i % 5 else " it's 42!  \n x")
+        if i % 4:
+            labels[i] = domains[d]
+    texts[500], texts[501] = None, ""
+    got = by_id(mixing.mix(docs(spark, texts.items()), spark.createDataFrame(list(labels.items()), "doc_id long, domain string"), dict.fromkeys(domains, 1)))
+    import regex
+
+    assert all(r.n_tokens == len(regex.findall(mixing.TOKEN, texts[i] or "")) for i, r in got.items())
+    cut_up = lambda t: {w for w in re.split("[ \n]", t or "") if w}
+    size = [sum(d == x for x in labels.values()) for d in domains]
+    prior = [np.log((n + 1) / (len(labels) + 3)) for n in size]
+    have = {}
+    for i, d in labels.items():
+        for w in cut_up(texts[i]):
+            have.setdefault(w, [0, 0, 0])[domains.index(d)] += 1
+    speaks = {}
+    for w, n in have.items():
+        tells = 0.0
+        for k in (1, 2):
+            share = sum(n) / sum(size)
+            expected = share * size[k]
+            if (n[k] + 0.5) / (size[k] + 1) >= mixing.STRONG * (n[0] + 0.5) / (size[0] + 1):
+                tells = max(tells, (n[k] - expected) / np.sqrt(expected * (1 - share) + 1e-9))
+        if sum(n) >= mixing.LEAST and tells >= mixing.SURE:
+            odds = [np.log((n[k] + 0.5) / (size[k] + 1)) - np.log((n[0] + 0.5) / (size[0] + 1)) for k in (1, 2)]
+            speaks[w] = [max(o, 0) if o == max(odds) else 0 for o in odds]
+    assert 8 <= len(speaks) < mixing.TERMS
+
+    def levels(t):
+        sums = np.sum([np.round(speaks[w], 4) for w in cut_up(t) if w in speaks], axis=0) if cut_up(t) & set(speaks) else [0, 0]
+        return [1 if e == 0 else 2 if e < mixing.GRADES[0] else 3 if e < mixing.GRADES[1] else 4 for e in sums]
+
+    seen = np.full((3, 2, 4), 0.5)
+    for i, d in labels.items():
+        for k, level in enumerate(levels(texts[i])):
+            seen[domains.index(d), k, level - 1] += 1
+    chances = np.log(seen / seen.sum(axis=2, keepdims=True))
+    for i, r in got.items():
+        logits = [prior[j] + sum(chances[j, k, level - 1] for k, level in enumerate(levels(texts[i]))) for j in range(3)]
+        p = np.exp(logits - np.max(logits))
+        assert np.allclose(r.posteriors, p / p.sum(), atol=1e-3)
+    counted = docs(spark, texts.items()).withColumn("mine", F.length("text"))
+    theirs = mixing.mix(counted, spark.createDataFrame(list(labels.items()), "doc_id long, domain string"), dict.fromkeys(domains, 1), tokens="mine", terms=3)
+    assert all(r.n_tokens == len(texts[r.doc_id] or "") for r in theirs.collect())
+
+
 def test_mixing_odd_cases(spark):
     none = spark.createDataFrame([], "doc_id long, domain string")
     got = mixing.mix(docs(spark, ODD), none, {"a": 1, "b": 3}).collect()

@@ -62,7 +62,7 @@ def test_op6_is_the_library(spark, texts):
 def op8_state(spark, data):
     got = QUERIES["op8_mixing"](spark, data).collect()
     goal = np.array([mixing.TARGETS[d] for d in sorted(mixing.TARGETS)])
-    p, words, rate = np.array([r.posteriors for r in got]), np.array([r.n_words for r in got]), np.array([r.rate for r in got])
+    p, words, rate = np.array([r.posteriors for r in got]), np.array([r.n_tokens for r in got]), np.array([r.rate for r in got])
     return len(got), p, words / words.sum(), rate, (words * rate) @ p / words.sum() - goal
 
 
