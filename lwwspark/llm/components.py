@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 CHUNK = 500_000
 
@@ -77,4 +77,5 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         lows = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lows, "a").select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("x"))
-        links = cut(small.select("x.a", F.col("x.low").alias("b")).where("a <> b").distinct())
+        older, links = links, cut(small.select("x.a", F.col("x.low").alias("b")).where("a <> b").distinct())
+        forget(older)

@@ -8,11 +8,13 @@ A window bounds what a pass compares, not what is linked: inside each component
 precision, in tiles of bounded size, so link counts are exact for all vectors that the passes have joined. What the passes
 may miss is a component's only contact with another; recall against brute force is measured in the tests.
 
-Identical vectors (same label and components) are one node with a multiplicity and are never expanded into pairs.
+Identical vectors (same label and components) are one node with a multiplicity and are never expanded into pairs. What is
+identical is told by two 64-bit hashes, so that vectors themselves travel only to be compared.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows with a null label or id, link
-with nothing: no links, their own component, kept. Vectors of different lengths don't link. Rows with one id are one
-vector for components; a repeated row counts as a copy. An empty table gives an empty result.
+with nothing: no links, their own component, kept. Labels are of any type and equal if their texts are (a negative zero is
+a zero). Vectors of different lengths don't link. Rows with one id are one vector for components; a repeated row counts as
+a copy. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import components, stars
 
-THRESHOLD, PASSES, BITS, WINDOW, TILE, SEED = 0.98, 10, 32, 256, 1024, 20_240
+THRESHOLD, PASSES, BITS, WINDOW, TILE, SEED = 0.98, 10, 32, 256, 256, 20_240
 _PLANES: dict[int, np.ndarray] = {}
 
 
@@ -62,7 +64,7 @@ def signatures(embedding):
 
 
 def neighbour_links(rows: DataFrame) -> DataFrame:
-    """a, b: verified links between neighbours, of rows (pass, label, size, node, embedding) that stand in order.
+    """a, b: verified links between neighbours, of rows (among, size, node, embedding) that stand in order, ``among`` by ``among``.
 
     Each block of ``WINDOW`` rows is compared with itself and the block before it; its links leave as stars.
     """
@@ -70,13 +72,12 @@ def neighbour_links(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
-            nodes = batch.column(3).to_numpy(zero_copy_only=False)
-            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            among, nodes = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(pa.compute.not_equal(among[1:], among[:-1]).to_numpy(zero_copy_only=False)) + 1
             for s, e in zip([0, *edge], [*edge, len(nodes)], strict=True):
-                x = matrix(batch.column(4).slice(s, e - s), int(keys[s, 2]))
-                if before is None or (before[0] != keys[s]).any():
-                    before = (keys[s], nodes[:0], x[:0])
+                x = matrix(batch.column(3).slice(s, e - s), batch.column(1)[s].as_py())
+                if before is None or before[0] != among[s].as_py():
+                    before = (among[s].as_py(), nodes[:0], x[:0])
                 found = [], []
                 for a in range(0, e - s, WINDOW):
                     new, ids = x[a : a + WINDOW], nodes[s + a : min(s + a + WINDOW, e)]
@@ -88,7 +89,7 @@ def neighbour_links(rows: DataFrame) -> DataFrame:
                         low, high = stars(i[differ], j[differ])
                         found[0].append(low)
                         found[1].append(high)
-                    before = (keys[s], near_ids[-WINDOW:], near[-WINDOW:])
+                    before = (before[0], near_ids[-WINDOW:], near[-WINDOW:])
                 if found[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], ["a", "b"])
 
@@ -103,7 +104,8 @@ def tile_counts(members: DataFrame) -> DataFrame:
     """
 
     def links(group: pa.Table) -> list[np.ndarray]:
-        side, label, node, key, copies = (group.column(i).to_numpy() for i in range(3, 8))
+        side, node, key, copies = (group.column(i).to_numpy() for i in (3, 5, 6, 7))
+        label = np.unique(group.column(4).to_numpy(), return_inverse=True)[1]
         sizes = np.asarray(pa.compute.list_value_length(group.column(8)))
         n = np.zeros(len(node), np.int64)
         for size in np.unique(sizes):
@@ -147,20 +149,23 @@ def tile_counts(members: DataFrame) -> DataFrame:
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     # Single-precision vectors travel as they are; every comparison widens them first.
-    held = F.col(embedding) if vectors.schema[embedding].dataType.simpleString() == "array<float>" else F.col(embedding).cast("array<double>")
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(label).cast("bigint").alias("label"), held.alias("embedding"))
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in (embedding, label)}
+    held = F.col(embedding) if kinds[embedding] == "array<float>" else F.col(embedding).cast("array<double>")
+    name = F.when(F.col(label) == 0, F.lit("0")).otherwise(F.col(label).cast("string")) if kinds[label] in ("float", "double") else F.col(label).cast("string")
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), name.alias("label"), held.alias("embedding"))
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     nonzero = F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite & nonzero
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    able, rest = rows.where("fine"), rows.where("not fine")
+    alike = ["key", "key2"]
+    able = rows.where("fine").withColumns({"key": F.xxhash64("label", "embedding"), "key2": F.xxhash64("embedding", F.lit(2), "label")})
 
-    nodes = able.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
-    nodes = cut(nodes.withColumn("key", F.xxhash64("label", "embedding")).withColumn("size", F.size("embedding")).withColumn("hashes", signatures(F.col("embedding"))))
+    nodes = able.groupBy(*alike).agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    nodes = cut(nodes.withColumn("size", F.size("embedding")).withColumn("hashes", signatures(F.col("embedding"))))
     passes = nodes.select(F.posexplode("hashes").alias("pass", "hash"), "label", "size", "node", "embedding")
     order = ["pass", "label", "size", "hash", "node"]
-    ordered = passes.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "label", "size", "node", "embedding")
-    tied = components(neighbour_links(ordered))
+    ordered = passes.repartitionByRange(*order).sortWithinPartitions(*order)
+    tied = components(neighbour_links(ordered.select(F.concat_ws(" ", "pass", "size", "label").alias("among"), "size", "node", "embedding")))
 
     members = nodes.join(tied, "node").select("component", "label", "node", "key", "copies", "embedding")
     sizes = tied.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil((F.col("n") + 1) / TILE).cast("int").alias("tiles"))
@@ -171,8 +176,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     dealt = dealt.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "label", "node", "key", "copies", "embedding")
     counts = tile_counts(dealt.repartition(*tile).sortWithinPartitions(*tile)).groupBy("node", "key").agg(F.sum("n").alias("n"))
 
-    known = nodes.select("label", "embedding", "node", "key", "copies").join(counts, ["node", "key"], "left").join(tied, "node", "left")
-    known = known.select("label", "embedding", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    linked = able.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    alone = rest.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    known = nodes.select(*alike, "node", "copies").join(counts, ["node", "key"], "left").join(tied, "node", "left")
+    known = known.select(*alike, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    linked = able.select("vec_id", *alike).join(known, alike).select("vec_id", "n_links", "component_id")
+    alone = rows.where("not fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
