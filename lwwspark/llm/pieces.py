@@ -276,10 +276,13 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_source_bytes (that the pieces' spans cover), and ids if asked for."""
-    names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes"] + ["ids"] * with_ids
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_source_bytes (that the pieces' spans cover), ends, and ids if asked for.
 
-    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_source_bytes bigint" + ", ids array<int>" * with_ids)
+    ``ends``: where each piece's span of source bytes ends; it begins where the one before ends, the first at 0.
+    """
+    names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_source_bytes", "ends"] + ["ids"] * with_ids
+
+    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_source_bytes bigint, ends array<int>" + ", ids array<int>" * with_ids)
     def run(batch: pa.Array) -> pa.Array:
         encoder, decoder = tools(model)
         decimals = [str(i) for i in range(len(encoder.model.pieces))]
@@ -288,9 +291,9 @@ def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
             array, starts, ends = encoder.encode(t.as_py() or "")
             ids = array.tolist()
             digest = hashlib.sha256(" ".join(map(decimals.__getitem__, ids)).encode()).hexdigest()
-            rows.append((len(ids), digest, hashlib.sha256(decoder.decode(ids).encode()).hexdigest(), int((ends - starts).sum()), array))
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32())]
+            rows.append((len(ids), digest, hashlib.sha256(decoder.decode(ids).encode()).hexdigest(), int((ends - starts).sum()), ends, array))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k, _ in zip(columns, kinds, names, strict=False)], names)
 
     out = by_small_batches(docs).select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("x"))

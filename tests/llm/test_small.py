@@ -293,6 +293,25 @@ def test_components_over_a_tile_are_counted_in_pairs_of_tiles(spark, monkeypatch
     assert {(r.n_links, r.component_id) for r in got} == {(149, 0)}
 
 
+def test_recall_where_windows_bind(spark):
+    """Thousands of vectors of one label, far more than a window holds: links found, of those that brute force finds."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((700, 48))
+    x = np.concatenate([base[rng.integers(0, 700, 3500)] + rng.standard_normal((3500, 48)) * rng.choice([0.06, 0.1, 0.14], (3500, 1)), rng.standard_normal((1500, 48))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    met = unit @ unit.T >= 0.98
+    np.fill_diagonal(met, False)
+    got = np.array([r.n_links for r in embed_dedup.near_vectors(spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).orderBy("vec_id").collect()])
+    assert met.sum() > 5000 and (got <= met.sum(axis=1)).all() and got.sum() >= 0.99 * met.sum()
+
+
+@pytest.mark.parametrize("kind, labels", [("string", ["a", "b", "a"]), ("double", [1.2, 1.9, 1.2]), ("boolean", [True, False, True]), ("double", [0.0, 1.0, -0.0])])
+def test_labels_of_any_type(spark, kind, labels):
+    rows = [(i, [1.0, 2.0 + i / 1e6], v) for i, v in enumerate(labels)]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<float>, label {kind}")).orderBy("vec_id").collect()
+    assert [(r.n_links, r.component_id) for r in got] == [(1, 0), (0, 1), (1, 0)]
+
+
 # pieces
 
 

@@ -1,5 +1,6 @@
 """The registered queries over whole tables: with SQL, with brute force, by held-out accuracy; the pipeline by brute force."""
 
+import hashlib
 import zlib
 from collections import Counter
 
@@ -55,8 +56,15 @@ def test_op4_components(spark, texts):
 
 
 def test_op6_is_the_library(spark, texts):
-    library = pieces.tools(None)[1]
-    assert {r.doc_id: r.n_tokens for r in QUERIES["op6_sentencepiece"](spark, DATA).collect()} == {i: len(library.encode(r.text, add_eos=True)) for i, r in texts.items()}
+    library, expected = pieces.tools(None)[1], {}
+    for i, r in texts.items():
+        ids = library.encode(r.text or "", add_eos=True)
+        expected[i] = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    got = QUERIES["op6_sentencepiece"](spark, DATA).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == expected and len(got) == len(texts)
+    for r in got:
+        size = len((texts[r.doc_id].text or "").encode())
+        assert len(r.ends) == r.n_tokens and r.ends == sorted(r.ends) and r.ends[-1] == r.n_source_bytes == size
 
 
 def op8_state(spark, data):
