@@ -40,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_source_bytes, ids of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_source_bytes, ends, ids of every document."""
     return piece_digests(docs, with_ids=True)
 
 
