@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 PRIMARY_KEY, TIMESTAMP_COLUMN = "id", "updatedAt"
@@ -27,6 +28,9 @@ SYSTEM_TABLES = {
     SYNC_META: _table(key=_S, value=_S),
 }
 
+#: What tells a system table's rows apart.
+SYSTEM_KEYS = {SYNC_STATE: ["remoteClientId"], TOMBSTONE: ["tableName", "recordId"], HEARTBEAT: ["id"], SYNC_META: ["key"]}
+
 
 @dataclass(frozen=True)
 class ColumnInfo:
@@ -40,15 +44,21 @@ class ColumnInfo:
 
 @dataclass(frozen=True)
 class TableMeta:
-    """Declared columns, and the column sets that are unique besides the key."""
+    """Declared columns, the column sets that are unique besides the key, and (column, table) for each column that refers to
+    another table's key and whose rows go when that row is deleted."""
 
     columns: tuple[ColumnInfo, ...]
     unique: tuple[tuple[str, ...], ...] = ()
+    cascades: tuple[tuple[str, str], ...] = ()
 
     @property
     def names(self) -> list[str]:
         return [c.name for c in self.columns]
 
+    @property
+    def required(self) -> list[str]:
+        return [c.name for c in self.columns if c.notnull]
+
 
 @dataclass(frozen=True)
 class TableOptions:
@@ -77,7 +87,8 @@ class DiscoverOptions:
 
 @dataclass
 class SyncConfig:
-    """``db_path``: the replica's own store. ``nas_path``: the shared directory. ``now``: the clock, for tests."""
+    """``db_path``: the replica's own store, a folder or a SQLite file. ``nas_path``: the shared directory. ``publish_as``:
+    ``parquet`` or ``sqlite``, the form of the copy there. ``now``: the clock, for tests."""
 
     db_path: str
     nas_path: str
@@ -92,6 +103,7 @@ class SyncConfig:
     heartbeat_enabled: bool = HEARTBEAT_ENABLED
     on_discovery_warning: Callable[[str], None] | None = None
     now: Callable[[], datetime] | None = None
+    publish_as: str = "parquet"
 
 
 @dataclass(frozen=True)
@@ -121,6 +133,8 @@ class SyncResult:
     warnings: list[str] = field(default_factory=list)
     skipped_remotes: list[SkippedRemote] = field(default_factory=list)
     had_changelog_gap: bool = False
+    #: All conflicts of the round (columns of ``ConflictInfo``), also those that the warnings don't list; None if there are none.
+    conflicts: DataFrame | None = None
 
 
 @dataclass(frozen=True)

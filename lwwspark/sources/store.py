@@ -1,8 +1,15 @@
 """Replicas as versioned snapshots in a folder that any Hadoop file system may hold.
 
-A version is a manifest: for each table its schema and the parquet folders that hold it. A transaction writes the tables
-that changed under new names and then the next manifest; the newest complete manifest is the replica. Tables that didn't
-change keep their folders, and appending adds one, so a commit costs what changed. Readers hold the version they opened.
+A version is a manifest: for each table its schema and the layers that hold it, parquet folders with their files, numbers of
+rows and, for feeds, spans of ids and times. A transaction writes layers under new names and then the next manifest; the
+newest complete manifest is the replica. Readers hold the version they opened.
+
+A table begins with layers of rows. Changes by key are layers on top, as large as the changes: what stands is the newest
+entry of each key, and the rows below of all other keys. Where changes grow to a quarter of the rows they are folded into
+them, and where layers grow many the small ones are folded into one, so the cost of a commit follows what changed.
+
+What needs no data is asked of the manifest: the schema version, a feed's ends, whether all files are there and whole. Pages
+are checked against their checksums as they are read.
 """
 
 from __future__ import annotations
@@ -13,10 +20,15 @@ import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..model import SYNC_META, SYSTEM_TABLES, ColumnInfo, TableMeta
+from ..model import CHANGELOG, SYNC_META, SYSTEM_KEYS, SYSTEM_TABLES, ColumnInfo, TableMeta
 
 _MANIFEST = re.compile(r"^v(\d{12})\.json$")
+#: Changes are folded into the rows at this share of them; small layers are folded into one beyond this number.
+FOLD_SHARE, MANY_LAYERS = 0.25, 8
+GONE = "_gone"
 
 
 class Folder:
@@ -41,6 +53,11 @@ class Folder:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self._path(self.path)))
 
+    def sizes(self, name: str) -> dict[str, int]:
+        """Length of each data file in a folder below."""
+        listed = self.fs.listStatus(self._path(self.at(name)))
+        return {n: s.getLen() for s in listed if not (n := s.getPath().getName()).startswith(("_", "."))}
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(self.at(name)))
         try:
@@ -70,21 +87,58 @@ class Busy(RuntimeError):
     """Another writer has committed meanwhile."""
 
 
+class Damaged(RuntimeError):
+    """Files of a version are missing or cut short."""
+
+
+@dataclass
+class Layer:
+    """A parquet folder. ``key``: its rows are changes by these columns. ``span``: least and greatest id, then time, of a feed."""
+
+    name: str
+    rows: int
+    files: dict[str, int] = field(default_factory=dict)
+    key: list[str] | None = None
+    span: list | None = None
+
+
+@dataclass
+class Change:
+    """What to do to a table by key: whole rows to put, and keys to take out, none of them twice."""
+
+    key: list[str]
+    rows: DataFrame | None = None
+    gone: DataFrame | None = None
+
+
 @dataclass
 class Version:
     number: int = 0
-    tables: dict[str, list[str]] = field(default_factory=dict)  # name -> parquet folders; system tables too
+    tables: dict[str, list[Layer]] = field(default_factory=dict)  # system tables too
+    schemas: dict[str, dict] = field(default_factory=dict)
     metas: dict[str, TableMeta] = field(default_factory=dict)
     feed_end: int = 0  # the highest id that the feed ever gave out
+    schema_version: str | None = None
 
     def dump(self) -> str:
-        return json.dumps({"number": self.number, "tables": self.tables, "metas": {k: asdict(m) for k, m in self.metas.items()}, "feed_end": self.feed_end})
+        layers = {k: [asdict(x) for x in v] for k, v in self.tables.items()}
+        metas = {k: asdict(m) for k, m in self.metas.items()}
+        return json.dumps({"number": self.number, "tables": layers, "schemas": self.schemas, "metas": metas, "feed_end": self.feed_end, "schema_version": self.schema_version})
 
     @classmethod
     def load(cls, text: str) -> Version:
         x = json.loads(text)
-        metas = {k: TableMeta(tuple(ColumnInfo(**c) for c in m["columns"]), tuple(map(tuple, m["unique"]))) for k, m in x["metas"].items()}
-        return cls(x["number"], x["tables"], metas, x["feed_end"])
+        metas = {k: TableMeta(tuple(ColumnInfo(**c) for c in m["columns"]), tuple(map(tuple, m["unique"])), tuple(map(tuple, m.get("cascades", ())))) for k, m in x["metas"].items()}
+        tables = {k: [Layer(**v) for v in layers] for k, layers in x["tables"].items()}
+        return cls(x["number"], tables, x["schemas"], metas, x["feed_end"], x["schema_version"])
+
+
+def small_tail(sizes: list[int]) -> int:
+    """How many of the newest layers to fold into one, so that each layer is over twice as large as all after it."""
+    take = 1
+    while take < len(sizes) and sizes[-take - 1] <= 2 * sum(sizes[-take:]):
+        take += 1
+    return take
 
 
 class Replica:
@@ -105,40 +159,140 @@ class Replica:
     def has(self, name: str) -> bool:
         return name in self.version.tables
 
+    def _read(self, layers: list[Layer], schema: StructType) -> DataFrame:
+        paths = [self.folder.at(f"data/{x.name}") for x in layers]
+        return self.spark.read.schema(schema).option("parquet.page.verify-checksum.enabled", "true").parquet(*paths)
+
+    def _schema(self, name: str) -> StructType:
+        return StructType.fromJson(self.version.schemas[name])
+
+    def _changes(self, layers: list[Layer], schema: StructType) -> DataFrame:
+        """The newest entry of each key among layers of changes."""
+        marked = StructType([*schema.fields, *StructType.fromDDL(f"{GONE} boolean").fields])
+        if len(layers) == 1:
+            return self._read(layers, marked)
+        every = None
+        for i, x in enumerate(layers):
+            one = self._read([x], marked).withColumn("_layer", F.lit(i))
+            every = one if every is None else every.unionByName(one)
+        best = F.max_by(F.struct(*marked.names), "_layer").alias("_best")
+        return every.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(layers[0].key))).agg(best).select("_best.*")
+
+    def _standing(self, layers: list[Layer], schema: StructType) -> DataFrame:
+        below, above = [x for x in layers if x.key is None], [x for x in layers if x.key]
+        rows = self._read(below, schema) if below else self.spark.createDataFrame([], schema)
+        if not above:
+            return rows
+        news, key = self._changes(above, schema), above[0].key
+        same = None
+        for i, c in enumerate(key):
+            one = F.col(c) == F.col(f"_k{i}")
+            same = one if same is None else same & one
+        met = news.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)))
+        return rows.join(met, same, "left_anti").unionByName(news.where(f"not {GONE}").drop(GONE))
+
     def table(self, name: str) -> DataFrame:
         if name in self.version.tables:
-            return self.spark.read.parquet(*self.version.tables[name])
+            return self._standing(self.version.tables[name], self._schema(name))
         return self.spark.createDataFrame([], SYSTEM_TABLES[name])
 
     def schema_version(self) -> str | None:
-        rows = self.table(SYNC_META).where("key = 'schemaVersion'").select("value").take(1)
-        return rows[0][0] if rows else None
+        return self.version.schema_version
+
+    def feed_span(self) -> tuple[int, int] | None:
+        """(least, greatest) id in the feed; None if it is empty."""
+        spans = [x.span for x in self.version.tables.get(CHANGELOG, []) if x.span]
+        return (min(s[0] for s in spans), max(s[1] for s in spans)) if spans else None
+
+    def verify(self) -> None:
+        """Whether all files are there and as long as they were written; reads no data."""
+        for layers in self.version.tables.values():
+            for x in layers:
+                there = self.folder.sizes(f"data/{x.name}")
+                if {n: there.get(n) for n in x.files} != x.files:
+                    raise Damaged(f"{x.name} of {self.folder.path} isn't as it was written")
 
     def commit(
-        self, changed: dict[str, DataFrame], metas: dict[str, TableMeta] | None = None, feed_end: int | None = None,
-        appended: dict[str, DataFrame] | None = None, as_named: dict[str, list[str]] | None = None,
+        self, changed: dict[str, DataFrame] | None = None, metas: dict[str, TableMeta] | None = None, feed_end: int | None = None,
+        appended: dict[str, DataFrame] | None = None, changes: dict[str, Change] | None = None, layers: dict[str, list[Layer]] | None = None,
     ) -> None:
-        """All of the changes or none. ``appended``: rows added to tables. ``as_named``: folders that are already here."""
+        """All or nothing: whole tables, rows added to tables, changes by key, or layers that are already here."""
         self.folder.ensure()
-        tables = {n: list(p) for n, p in self.version.tables.items()} | (as_named or {})
-        for name, df in changed.items():
+        old = self.version
+        tables, schemas = {n: list(v) for n, v in old.tables.items()} | (layers or {}), dict(old.schemas)
+        for name, df in (changed or {}).items():
+            schemas[name] = df.schema.jsonValue()
             tables[name] = [self._write(name, df)]
         for name, df in (appended or {}).items():
-            tables[name] = tables.get(name, []) + [self._write(name, df)]
-        new = Version(self.version.number + 1, tables, metas or self.version.metas, self.version.feed_end if feed_end is None else feed_end)
+            if not tables.get(name):
+                schemas[name] = df.schema.jsonValue()
+            tables[name] = self._fewer(name, [*tables.get(name, []), self._write(name, df)], StructType.fromJson(schemas[name]))
+        for name, change in (changes or {}).items():
+            if name not in schemas:
+                schemas[name] = (SYSTEM_TABLES[name] if change.rows is None else change.rows.schema).jsonValue()
+            tables[name] = self._layered(name, tables.get(name, []), change, StructType.fromJson(schemas[name]))
+        version = old.schema_version
+        if SYNC_META in (changed or {}) or SYNC_META in (changes or {}):
+            rows = self._standing(tables[SYNC_META], SYSTEM_TABLES[SYNC_META]).where("key = 'schemaVersion'").select("value").take(1)
+            version = rows[0][0] if rows else None
+        new = Version(old.number + 1, tables, schemas, metas or old.metas, old.feed_end if feed_end is None else feed_end, version)
         if not self.folder.put(f"v{new.number:012d}.json", new.dump()):
             raise Busy(f"version {new.number} of {self.folder.path} is taken")
         self.version = new
 
-    def _write(self, name: str, df: DataFrame, label: str | None = None) -> str:
-        path = self.folder.at(f"data/{label or f'{name}-{uuid.uuid4().hex}'}")
+    def _write(self, name: str, df: DataFrame, key: list[str] | None = None, label: str | None = None) -> Layer:
+        """Writes a layer, and reads back what the manifest says about it."""
+        label = label or f"{name}-{uuid.uuid4().hex}"
+        path = self.folder.at(f"data/{label}")
         df.write.mode("overwrite").parquet(path)
-        return path
+        asked = [F.count("*")] + ([F.min("id"), F.max("id"), F.min("changedAt"), F.max("changedAt")] if name == CHANGELOG else [])
+        rows, *span = self.spark.read.schema(df.schema).parquet(path).agg(*asked).first()
+        return Layer(label, rows, self.folder.sizes(f"data/{label}"), key, span if rows and span else None)
+
+    def _fewer(self, name: str, layers: list[Layer], schema: StructType) -> list[Layer]:
+        """Layers of rows, the newest and smallest folded into one where they are many."""
+        if len(layers) <= MANY_LAYERS or (take := small_tail([x.rows for x in layers])) == 1:
+            return layers
+        return [*layers[:-take], self._write(name, self._read(layers[-take:], schema))]
+
+    def _layered(self, name: str, layers: list[Layer], change: Change, schema: StructType) -> list[Layer]:
+        rows = None if change.rows is None else change.rows.select(*schema.names).withColumn(GONE, F.lit(False))
+        if change.gone is not None:
+            empty = [F.col(f.name) if f.name in change.key else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+            gone = change.gone.select(*empty, F.lit(True).alias(GONE))
+            rows = gone if rows is None else rows.unionByName(gone)
+        if rows is None:
+            return layers
+        below, above = [x for x in layers if x.key is None], [x for x in layers if x.key]
+        above.append(self._write(name, rows, change.key))
+        if not above[-1].rows:
+            self.folder.drop(f"data/{above.pop().name}")
+        if above and sum(x.rows for x in above) >= FOLD_SHARE * sum(x.rows for x in below):
+            return [self._write(name, self._standing([*below, *above], schema))]
+        if len(above) > MANY_LAYERS and (take := small_tail([x.rows for x in above])) > 1:
+            above = [*above[:-take], self._write(name, self._changes(above[-take:], schema), change.key)]
+        return [*below, *above]
+
+    def drop_expired(self, since: str) -> int:
+        """Drops the feed's entries from before ``since``: layers that are all older as they are, others by a filter."""
+        kept, n = [], 0
+        for x in self.version.tables.get(CHANGELOG, []):
+            if x.span is None or x.span[2] >= since:
+                kept.append(x)
+                continue
+            n += x.rows
+            if x.span[3] >= since:
+                left = self._write(CHANGELOG, self._read([x], SYSTEM_TABLES[CHANGELOG]).where(F.col("changedAt") >= since))
+                n -= left.rows
+                kept.append(left)
+        if n:
+            self.commit(layers={CHANGELOG: kept}) if kept else self.commit({CHANGELOG: self.spark.createDataFrame([], SYSTEM_TABLES[CHANGELOG])})
+        return n
 
     def vacuum(self, keep: int = 2) -> None:
-        """Drops all but the newest versions, and the tables that only they hold. Readers of older versions must be done."""
+        """Drops all but the newest versions, and the layers that only they hold. Readers of older versions must be done."""
         found = [n for n in self.folder.names() if _MANIFEST.match(n)]
-        alive = {p.rsplit("/", 1)[1] for n in found[-keep:] for paths in Version.load(self.folder.read(n)).tables.values() for p in paths}
+        alive = {x.name for n in found[-keep:] for layers in Version.load(self.folder.read(n)).tables.values() for x in layers}
         for n in found[:-keep]:
             self.folder.drop(n)
         data = Folder(self.spark, self.folder.at("data"))
@@ -147,15 +301,23 @@ class Replica:
                 data.drop(n)
 
     def publish(self, share: str, client_id: str) -> None:
-        """A full copy under ``client-{id}`` in the shared folder, from which others read; folders that are there stay."""
+        """A full copy under ``client-{id}`` in the shared folder, from which others read; layers that are there stay."""
         Folder(self.spark, share).ensure()
         copy = Replica(self.spark, f"{share.rstrip('/')}/client-{client_id}")
-        there = {p.rsplit("/", 1)[1]: p for paths in copy.version.tables.values() for p in paths}
-        placed: dict[str, list[str]] = {}
-        for name, paths in self.version.tables.items():
-            labels = [p.rsplit("/", 1)[1] for p in paths]
-            placed[name] = [there.get(x) or copy._write(name, self.spark.read.parquet(p), x) for p, x in zip(paths, labels, strict=True)]
-        copy.commit({}, self.version.metas, self.version.feed_end, as_named=placed)
+        there = {x.name: x for layers in copy.version.tables.values() for x in layers}
+        placed: dict[str, list[Layer]] = {}
+        for name, layers in self.version.tables.items():
+            placed[name] = []
+            for x in layers:
+                if x.name not in there:
+                    schema = StructType.fromJson(self.version.schemas[name])
+                    if x.key:
+                        schema = StructType([*schema.fields, *StructType.fromDDL(f"{GONE} boolean").fields])
+                    there[x.name] = copy._write(name, self._read([x], schema), x.key, x.name)
+                placed[name].append(there[x.name])
+        mine = self.version
+        copy.version = Version(copy.version.number, {}, dict(mine.schemas), mine.metas, mine.feed_end, mine.schema_version)
+        copy.commit(layers=placed)
         copy.vacuum()
 
 
@@ -173,17 +335,16 @@ def set_up(replica: Replica) -> None:
         replica.commit(missing)
 
 
-_CLIENT = re.compile(r"^client-(.+?)(\.sqlite)?$")
+def client_of(name: str) -> str | None:
+    """The client whose copy a file or folder of this name is."""
+    m = None if name.endswith(".tmp") else re.match(r"^client-(.+)\.sqlite$", name) or (None if name.endswith(".sqlite") else re.match(r"^client-(.+)$", name))
+    return m[1] if m else None
 
 
 def remotes(spark: SparkSession, share: str, me: str) -> list[tuple[str, str]]:
     """(client id, path) of the other clients' copies, by id."""
-    out = []
-    for name in Folder(spark, share).names():
-        m = _CLIENT.match(name)
-        if m and not name.endswith(".tmp") and m[1] != me:
-            out.append((m[1], f"{share.rstrip('/')}/{name}"))
-    return sorted(out)
+    found = ((client_of(n), f"{share.rstrip('/')}/{n}") for n in Folder(spark, share).names())
+    return sorted((c, p) for c, p in found if c is not None and c != me)
 
 
 def open_remote(spark: SparkSession, path: str, copy: bool = True) -> Replica | None:
@@ -196,11 +357,10 @@ def open_remote(spark: SparkSession, path: str, copy: bool = True) -> Replica |
         replica = Replica(spark, path)
         if not replica.version.tables:
             return None
-        for name in replica.version.tables:
-            replica.table(name)  # the files and their footers are there
+        replica.verify()
         return replica
     except Exception:  # noqa: BLE001  whatever is wrong with the copy, its client is passed over with a warning
         return None
 
 
-__all__ = ["Busy", "Folder", "Replica", "Version", "create", "open_remote", "remotes", "set_up"]
+__all__ = ["SYSTEM_KEYS", "Busy", "Change", "Damaged", "Folder", "Layer", "Replica", "Version", "client_of", "create", "open_remote", "remotes", "set_up"]
