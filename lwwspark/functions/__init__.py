@@ -18,8 +18,8 @@ def newer(remote: Column, local: Column) -> Column:
     return stamp(remote) > stamp(local)
 
 
-def is_internal(name: Column) -> Column:
-    return name.startswith("_") | name.startswith("sqlite_")
+#: How names of tables begin that are never synchronised. Fixed values.
+INTERNAL = ("_", "sqlite_")
 
 
 def system_time(now: datetime) -> str:

@@ -32,15 +32,26 @@ def gap(last_seen: Column, least: Column) -> Column:
     return F.when(F.coalesce(last_seen, F.lit(0)) == 0, False).when(least.isNull(), True).otherwise(least > last_seen)
 
 
-def gaps(feeds: DataFrame, offsets: DataFrame) -> DataFrame:
-    """remote, last_seen, min_id, has_gap for all remotes at once. ``feeds``: remote, id. ``offsets``: remote, last_seen."""
-    least = feeds.groupBy("remote").agg(F.min("id").alias("min_id"))
+def beginnings(feeds: DataFrame) -> DataFrame:
+    """remote, min_id of feeds (remote, id). A replica's manifest says the same without reading its feed."""
+    return feeds.groupBy("remote").agg(F.min("id").alias("min_id"))
+
+
+def offsets(state: DataFrame, remotes: DataFrame) -> DataFrame:
+    """remote, last_seen: how far each remote's feed has been read, 0 at the first contact. ``state``: remoteClientId, lastSeenId."""
+    seen = state.select(F.col("remoteClientId").alias("_of"), "lastSeenId")
+    return remotes.select("remote").join(seen, F.col("remote") == F.col("_of"), "left").select("remote", F.coalesce("lastSeenId", F.lit(0).cast("bigint")).alias("last_seen"))
+
+
+def gaps(least: DataFrame, offsets: DataFrame) -> DataFrame:
+    """remote, last_seen, min_id, has_gap for all remotes at once. ``least``: remote, min_id. ``offsets``: remote, last_seen."""
     return offsets.join(least, "remote", "left").select("remote", "last_seen", "min_id", gap(F.col("last_seen"), F.col("min_id")).alias("has_gap"))
 
 
-def last_operations(feed: DataFrame) -> DataFrame:
-    """tableName, recordId, operation (the last), pos (id of the first entry, which keeps the key's turn)."""
-    return feed.groupBy("tableName", "recordId").agg(F.max_by("operation", "id").alias("operation"), F.min("id").alias("pos"))
+def last_operations(feed: DataFrame, by: Iterable[str] = ()) -> DataFrame:
+    """tableName, recordId, operation (the last), pos (id of the first entry, which keeps the key's turn). ``by``: columns
+    that tell several feeds apart."""
+    return feed.groupBy(*by, "tableName", "recordId").agg(F.max_by("operation", "id").alias("operation"), F.min("id").alias("pos"))
 
 
 def retained(feed: DataFrame, since: str) -> DataFrame:
@@ -66,9 +77,14 @@ def in_scope(feed: DataFrame, tables: Iterable[TableConfig]) -> DataFrame:
     return feed.where(known & ~(guarded & (F.col("operation") == "DELETE")))
 
 
-def resolved(entries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Entries with the row that the remote holds now; entries whose row is gone fall out, deletions need none."""
-    held = rows.select(F.col(key).alias("_key"), F.struct(*rows.columns).alias("row"))
-    alive = entries.where(F.col("operation") != "DELETE").join(held, F.col("recordId") == F.col("_key")).drop("_key")
+def resolved(entries: DataFrame, rows: DataFrame, key: str, by: Iterable[str] = ()) -> DataFrame:
+    """Entries with the row that the remote holds now; entries whose row is gone fall out, deletions need none. ``by``:
+    columns of both that tell several remotes apart."""
+    by = list(by)
+    held = rows.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in by), F.struct(*(c for c in rows.columns if c not in by)).alias("row"))
+    same = F.col("recordId") == F.col("_key")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    alive = entries.where(F.col("operation") != "DELETE").join(held, same).drop("_key", *(f"_{c}" for c in by))
     gone = entries.where(F.col("operation") == "DELETE")
     return alive.unionByName(gone.withColumn("row", F.lit(None).cast(alive.schema["row"].dataType)))

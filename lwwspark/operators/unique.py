@@ -3,7 +3,7 @@
 Collisions are found by an equi-join on the unique values; nulls never collide. Rows that share no contended value go
 their usual way, set by set. The others are labelled by component (rows linked by a key or a contended value) and each
 component is folded in order, which gives what folding the whole table would give. If an operation can't be applied, all
-of the remote's operations are taken back. Within each replica a value is unique, so a key meets at most two others by each
+of its remote's operations are taken back. Within each replica a value is unique, so a key meets at most two others by each
 unique set and components are chains of contended rows, not groups that grow with a frequent value.
 """
 
@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .components import components as connected
+from .lineage import cut, forget
 
 Sets = Sequence[Sequence[str]]
 
@@ -44,28 +45,25 @@ def _tokens(rows: DataFrame, sets: Sets, key: str) -> DataFrame:
 def components(local: DataFrame, incoming: DataFrame, sets: Sets, key: str = "id") -> DataFrame:
     """_key, component of every key that shares a contended unique value; others don't appear.
 
-    Labels run between keys and values until they rest; each round is a pair of aggregations and joins.
+    ``incoming`` may hold rows of several remotes. A contended value hangs its keys on the least of them.
     """
     ties = _tokens(local, sets, key).unionByName(_tokens(incoming.select(*local.columns), sets, key)).distinct()
-    contended = ties.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1").select("_token")
-    ties = cut(ties.join(contended, "_token"))
-    labels = ties.select("_key", F.col("_key").alias("component")).distinct()
-    before = None
-    while True:
-        state = tuple(labels.agg(F.count("*"), F.sum(F.xxhash64("_key", "component").cast("decimal(38,0)"))).first())
-        if state == before or not state[0]:
-            return labels
-        before = state
-        shared = ties.join(labels, "_key").groupBy("_token").agg(F.min("component").alias("component"))
-        labels = cut(ties.join(shared, "_token").groupBy("_key").agg(F.min("component").alias("component")))
+    least = ties.groupBy("_token").agg(F.min("_key").alias("b"), F.count("*").alias("_n")).where("_n > 1").select("_token", "b")
+    links = cut(ties.join(least, "_token").select(F.col("_key").alias("a"), "b"))
+    found = connected(links)
+    # The least key of a component has no entry of its own there.
+    out = cut(found.select(F.col("node").alias("_key"), "component").unionByName(found.select(F.col("component").alias("_key"), "component")).distinct())
+    forget(links, found)
+    return out
 
 
 class Rows:
     """A component's rows while operations are applied one after the other, with an index for each unique set."""
 
-    def __init__(self, key: str, ts: str, sets: Sets):
-        self.key, self.ts, self.sets, self.rows = key, ts, sets, {}
+    def __init__(self, key: str, ts: str, sets: Sets, required: Sequence[str] = ()):
+        self.key, self.ts, self.sets, self.required, self.rows = key, ts, sets, required, {}
         self.index: list[dict] = [{} for _ in sets]
+        self.touched: set = set()
 
     def stamp(self, row) -> str:
         return "" if row[self.ts] is None else str(row[self.ts])
@@ -80,6 +78,7 @@ class Rows:
         k = row[self.key]
         self.drop(k)
         self.rows[k] = row
+        self.touched.add(k)
         for n, values in self._values(row):
             self.index[n][values] = k
 
@@ -87,6 +86,7 @@ class Rows:
         row = self.rows.pop(k, None)
         if row is None:
             return False
+        self.touched.add(k)
         for n, values in self._values(row):
             if self.index[n].get(values) == k:
                 del self.index[n][values]
@@ -109,7 +109,7 @@ class Rows:
             return "upserted", (k, local, remote, "remote_wins" if remote > local else "local_wins")
         loser = self.clash(row)
         if loser is None:
-            self.hold(row)
+            self.put(row)
             return "inserted", None
         local, remote = self.stamp(self.rows[loser]), self.stamp(row)
         if remote <= local:
@@ -119,6 +119,8 @@ class Rows:
         return "upserted", (k, local, remote, "remote_wins", loser)
 
     def put(self, row, besides=None):
+        if any(row[c] is None for c in self.required):
+            raise ValueError("NOT NULL constraint failed")
         if self.clash(row, besides) is not None:
             raise ValueError("UNIQUE constraint failed")
         self.hold(row)
@@ -139,52 +141,71 @@ class Rows:
     def delete(self, k) -> tuple[str, tuple | None]:
         return ("deleted" if self.drop(k) else "missed"), None
 
+    def bury(self, k, at: str) -> tuple[str, tuple | None]:
+        """A tombstone deletes what is older than it."""
+        if k in self.rows and at > self.stamp(self.rows[k]):
+            return self.delete(k)
+        return "missed", None
 
-OUTCOME = "pos bigint, recordId string, action string, local_updated_at string, remote_updated_at string, resolution string, conflict_id string, loser string, failed boolean"
+    def apply(self, operation: str, key, row, at) -> tuple[str, tuple | None]:
+        if operation == "DELETE":
+            return self.delete(key)
+        if operation == "BURY":
+            return self.bury(key, at)
+        return (self.insert if operation == "INSERT" else self.update)(row)
 
 
-def fold(local: DataFrame, ops: DataFrame, labels: DataFrame, sets: Sets, key: str = "id", ts: str = "updatedAt") -> tuple[DataFrame, DataFrame]:
-    """(rows that stand, outcomes) of the labelled keys. ``ops``: pos, recordId, operation, row.
+#: What a fold gives: outcomes of operations (``kind`` ``told``), and rows as they stand of keys that operations touched
+#: (``put``, or ``gone`` without a row).
+FOLDED = "kind string, rank int, pos bigint, recordId string, action string, local_updated_at string, remote_updated_at string, resolution string, loser string, at string, failure string"
 
-    Components are dealt out by label and stream through their task in order, the local rows of each first.
+
+def fold(local: DataFrame, ops: DataFrame, labels: DataFrame, sets: Sets, key: str = "id", ts: str = "updatedAt", required: Sequence[str] = ()) -> DataFrame:
+    """Columns of ``FOLDED``, and row, of the labelled keys. ``ops``: rank, pos, recordId, operation, row, at (of a tombstone).
+
+    Components are dealt out by label and stream through their task in order of rank and pos, the local rows of each first.
+    After a failure nothing more of its component is applied.
     """
     row_type = ops.schema["row"].dataType.simpleString()
-    mine = local.select(F.lit(None).cast("bigint").alias("pos"), F.col(key).alias("recordId"), F.lit("LOCAL").alias("operation"), F.struct(*local.columns).alias("row"))
-    both = mine.unionByName(ops.select("pos", "recordId", "operation", "row"))
-    dealt = both.join(labels, F.col("recordId") == F.col("_key")).select("component", "pos", "recordId", "operation", "row")
-    names = [x.split()[0] for x in OUTCOME.split(", ")] + ["row"]
+    columns = ["rank", "pos", "recordId", "operation", "row", "at"]
+    nothing = lambda kind: F.lit(None).cast(kind)
+    mine = local.select(F.lit(0).alias("rank"), nothing("bigint").alias("pos"), F.col(key).alias("recordId"), F.lit("LOCAL").alias("operation"), F.struct(*local.columns).alias("row"), nothing("string").alias("at"))
+    dealt = mine.unionByName(ops.select(*columns)).join(labels, F.col("recordId") == F.col("_key")).select("component", *columns)
+    names = [x.split()[0] for x in FOLDED.split(", ")] + ["row"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, failed, at = Rows(key, ts, sets), False, None
-        row_kind = None
+        state, failed, at, row_kind = None, False, None, None
 
         def pack(out: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), *[pa.string()] * 7, pa.bool_(), row_kind]
+            kinds = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 8, row_kind]
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-        def standing() -> list[tuple]:
-            return [(None, k, *[None] * 6, False, row) for k, row in state.rows.items()]
+        def result() -> list[tuple]:
+            if state is None:
+                return []
+            return [("put" if (row := state.rows.get(k)) is not None else "gone", None, None, k, *[None] * 7, row) for k in sorted(state.touched, key=str)]
 
         for batch in batches:
             row_kind, out = batch.schema.field("row").type, []
-            for component, pos, record, operation, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if component != at:
-                    out += standing()
-                    state, failed, at = Rows(key, ts, sets), False, component
+            for component, rank, pos, record, operation, row, buried in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or component != at:
+                    out += result()
+                    state, failed, at = Rows(key, ts, sets, required), False, component
                 if operation == "LOCAL":
                     state.hold(row)
+                    state.touched.clear()
                 elif not failed:
+                    action, c, failure = None, None, None
                     try:
-                        action, told = state.delete(record) if operation == "DELETE" else (state.insert if operation == "INSERT" else state.update)(row)
-                    except ValueError:
-                        action, told, failed = None, None, True
-                    c = told or (None,) * 4
-                    out.append((pos, record, action, c[1], c[2], c[3], c[0], c[4] if len(c) > 4 else None, failed, None))
+                        action, c = state.apply(operation, record, row, buried)
+                    except ValueError as e:
+                        failed, failure = True, str(e)
+                    c = c or (None,) * 4
+                    out.append(("told", rank, pos, record, action, c[1], c[2], c[3], c[4] if len(c) > 4 else None, buried, failure, None))
             if out:
                 yield pack(out)
-        if state.rows:
-            yield pack(standing())
+        if left := result():
+            yield pack(left)
 
-    ordered = dealt.repartition("component").sortWithinPartitions("component", F.col("pos").asc_nulls_first())
-    done = cut(ordered.mapInArrow(run, f"{OUTCOME}, row {row_type}"))
-    return done.where("row is not null").select("row.*"), done.where("pos is not null").drop("row")
+    ordered = dealt.repartition("component").sortWithinPartitions("component", "rank", F.col("pos").asc_nulls_first(), "recordId")
+    return cut(ordered.mapInArrow(run, f"{FOLDED}, row {row_type}"))
