@@ -105,6 +105,11 @@ _ROWS = f"select id, status, price, updatedAt from ({_ANY}) r join ({{}}) w on w
 ORACLE_SQL = {
     "perform_sync_normal": _turns() + _ROWS.format(_STATE),
     "perform_sync_gap": _FOLD + _ROWS.format(_STANDS),
+    "perform_sync_damaged": _turns() + _ROWS.format(_STATE),
+    "full_merge_outcomes": _FOLD + """
+        select f.key, e.rank, case when e.kind = 'TOMBSTONE' then 'deleted' when p.held is null then 'inserted' when f.held = e.rank then 'updated' else 'skipped' end as action
+        from f join e on e.key = f.key and e.n = f.n left join f p on p.key = f.key and p.n = f.n - 1
+        where e.rank > 0 and (e.kind = 'ROW' or (p.held is not null and f.held is null))""",
     "stream_feed_dedup": f"select tableName, recordId, arg_max(operation, id) as operation, min(id) as pos from {_FEED} group by 1, 2",
     "sqlite_roundtrip": f"select * from {_L}",
     "feed_read_since": f"select * from {_FEED} where id > 500",
@@ -177,13 +182,18 @@ ORACLE_SQL = {
         from {_parts("local")} l join {_parts("remote")} r using (brand, type, size)""",
     "heartbeat_upsert": f"select '{HEARTBEAT_ID}' as id, case when '2024-01-30T12:00:00.000Z' < '2024-01-31T12:00:00.000Z' then '2024-01-31T12:00:00.000Z' else '2024-01-30T12:00:00.000Z' end as updatedAt",
     "schema_hash": f"""
-        select "table", substr(sha256("table" || '(' || string_agg("column" || ':' || type || ':' || "notnull" || ':' || pk, ',' order by cid) || ')'), 1, 16) as schema_hash from {_SHAPES} group by 1""",
+        with t as (select "table", "table" || '(' || string_agg("column" || ':' || type || ':' || "notnull" || ':' || pk, ',' order by cid) || ')' as shape from {_SHAPES} group by 1)
+        select "table", substr(sha256(shape), 1, 16) as schema_hash from t
+        union all select '*', substr(sha256(string_agg(shape, '|' order by "table")), 1, 16) from t""",
     "discover_tables": f"""
         select "table", case when bool_or("column" = case "table" when 'posts' then 'modifiedAt' else 'updatedAt' end) then 'synced' else 'no_timestamp' end as status
         from {_SHAPES} where "table" not like '\\_%' escape '\\' and "table" not like 'sqlite\\_%' escape '\\' group by 1 having bool_or("column" = 'id')""",
     "validate_tables": f"""
-        select "table", case when not bool_or("column" = 'id') then 'no key' when max(type) filter (where "column" = 'id') <> 'TEXT' then 'key not text'
-          when not bool_or("column" = 'updatedAt') then 'no timestamp' else 'ok' end as verdict from {_SHAPES} group by 1""",
+        with t as (select "table", bool_or("column" = 'id') as k, max(type) filter (where "column" = 'id') as kind, bool_or("column" = 'updatedAt') as t from {_SHAPES} group by 1)
+        select "table", 'Primary key column ''id'' does not exist' as message from t where not k
+        union all select "table", 'Primary key column ''id'' must be TEXT type, got ' || chr(39) || kind || chr(39) from t where k and upper(kind) <> 'TEXT'
+        union all select "table", 'Column ''updatedAt'' does not exist' from t where k and not t
+        union all select 'absent', 'Table does not exist'""",
     "version_gate": "select client_id, remote_version, remote_version is not distinct from 'v2' as usable from (values ('a', 'v1'), ('b', 'v2'), ('c', null)) v(client_id, remote_version)",
     "remote_listing": f"""
         select file, substr(file, 8, length(file) - 14) as client_id from (values {_values([(f,) for f in FILES])}) v(file)

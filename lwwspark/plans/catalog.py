@@ -9,54 +9,45 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import is_internal
-from ..model import PRIMARY_KEY, TIMESTAMP_COLUMN, DiscoverOptions, TableConfig, TableMeta, TableOptions, ValidationError
+from ..functions import INTERNAL
+from ..model import PRIMARY_KEY, DiscoverOptions, TableConfig, TableMeta, TableOptions, ValidationError
 
 
-def discovery(columns: DataFrame, primary_key: str = PRIMARY_KEY, exclude: tuple[str, ...] = (), timestamps: Mapping[str, str] | None = None) -> DataFrame:
-    """table, status (synced, no_timestamp) of every candidate. ``columns``: table, column, one row for each column."""
-    ts = F.lit(TIMESTAMP_COLUMN)
-    for name, column in (timestamps or {}).items():
-        ts = F.when(F.col("table") == name, column).otherwise(ts)
-    has = lambda c: F.max((F.col("column") == c).cast("int"))
-    flags = columns.where(~is_internal(F.col("table")) & ~F.col("table").isin(list(exclude))).groupBy("table").agg(has(F.lit(primary_key)).alias("k"), has(ts).alias("t"))
-    return flags.where("k = 1").select("table", F.when(F.col("t") == 1, "synced").otherwise("no_timestamp").alias("status"))
+#: What users are told, and match on. Fixed values.
+NO_TIMESTAMP = 'Table "{}" has "{}" but no "{}" column — excluded from sync. Add the column or list it in excludeTables to silence this warning.'
+NO_TABLE = "Table does not exist"
+NO_KEY = "Primary key column '{}' does not exist"
+KEY_NOT_TEXT = "Primary key column '{}' must be TEXT type, got '{}'"
+NO_COLUMN = "Column '{}' does not exist"
 
 
 def discover_tables(metas: Mapping[str, TableMeta], options: DiscoverOptions | None = None) -> list[TableConfig]:
     """The tables to synchronise, by name; a table with a key but no timestamp column is reported."""
     o = options or DiscoverOptions()
-    out = []
-    for name in sorted(metas):
-        if name.startswith(("_", "sqlite_")) or name in set(o.exclude_tables) or o.primary_key not in metas[name].names:
-            continue
-        more = o.table_options.get(name, TableOptions())
-        config = TableConfig(name, more.timestamp_column, more.delete_protected)
-        if config.ts not in metas[name].names:
-            (o.on_warning or print)(
-                f'Table "{name}" has "{o.primary_key}" but no "{config.ts}" column — '
-                "excluded from sync. Add the column or list it in excludeTables to silence this warning."
-            )
-            continue
-        out.append(config)
-    return out
+    keyed = (n for n in sorted(metas) if not n.startswith(INTERNAL) and n not in set(o.exclude_tables) and o.primary_key in metas[n].names)
+    configs = [TableConfig(n, m.timestamp_column, m.delete_protected) for n in keyed for m in [o.table_options.get(n, TableOptions())]]
+    for t in configs:
+        if t.ts not in metas[t.name].names:
+            (o.on_warning or print)(NO_TIMESTAMP.format(t.name, o.primary_key, t.ts))
+    return [t for t in configs if t.ts in metas[t.name].names]
+
+
+def _faults(table: TableConfig, meta: TableMeta | None, key: str):
+    if meta is None:
+        yield NO_TABLE
+        return
+    kinds = {c.name: c.type for c in meta.columns}
+    if key not in kinds:
+        yield NO_KEY.format(key)
+        return
+    if kinds[key].upper() != "TEXT":
+        yield KEY_NOT_TEXT.format(key, kinds[key])
+    if table.ts not in kinds:
+        yield NO_COLUMN.format(table.ts)
 
 
 def validate(metas: Mapping[str, TableMeta], tables: list[TableConfig], primary_key: str = PRIMARY_KEY) -> list[ValidationError]:
-    errors = []
-    for t in tables:
-        found = {c.name: c for c in metas[t.name].columns} if t.name in metas else None
-        if found is None:
-            errors.append(ValidationError(t.name, "Table does not exist"))
-        elif primary_key not in found:
-            errors.append(ValidationError(t.name, f"Primary key column '{primary_key}' does not exist"))
-        else:
-            kind = found[primary_key].type
-            if kind.upper() != "TEXT":
-                errors.append(ValidationError(t.name, f"Primary key column '{primary_key}' must be TEXT type, got '{kind}'"))
-            if t.ts not in found:
-                errors.append(ValidationError(t.name, f"Column '{t.ts}' does not exist"))
-    return errors
+    return [ValidationError(t.name, fault) for t in tables for fault in _faults(t, metas.get(t.name), primary_key)]
 
 
 def schema_hash(metas: Mapping[str, TableMeta], tables: list[TableConfig]) -> str:
@@ -66,14 +57,6 @@ def schema_hash(metas: Mapping[str, TableMeta], tables: list[TableConfig]) -> st
     return hashlib.sha256("|".join(f"{n}({shape(metas[n])})" for n in names).encode()).hexdigest()[:16]
 
 
-def schema_hashes(columns: DataFrame) -> DataFrame:
-    """table, schema_hash of each table alone. ``columns``: table, cid, column, type, notnull, pk."""
-    one = F.concat_ws(":", "column", "type", F.col("notnull").cast("string"), F.col("pk").cast("string"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("cid", one.alias("d")))), lambda x: x["d"])
-    text = F.concat(F.col("table"), F.lit("("), F.concat_ws(",", "listed"), F.lit(")"))
-    return columns.groupBy("table").agg(listed.alias("listed")).select("table", F.substring(F.sha2(text, 256), 1, 16).alias("schema_hash"))
-
-
 def version_gate(remotes: DataFrame, version: str) -> DataFrame:
     """client_id, remote_version, usable: remotes with another version, or none, are passed over."""
     return remotes.select("client_id", "remote_version", F.col("remote_version").eqNullSafe(F.lit(version)).alias("usable"))

@@ -3,18 +3,17 @@ collisions from part. Each has a DuckDB form in ``oracle.py``."""
 
 from __future__ import annotations
 
-import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import CHANGELOG, HEARTBEAT_ID, SYNC_STATE, TOMBSTONE, ColumnInfo, SyncConfig, TableConfig, TableMeta
+from .model import CHANGELOG, HEARTBEAT_ID, SYNC_STATE, TOMBSTONE, ColumnInfo, DiscoverOptions, SyncConfig, TableConfig, TableMeta, TableOptions
 from .operators import capture, feed, lww, tombstones, unique
-from .operators.lineage import shared_dir
+from .operators.lineage import scratch
 from .operators.numbering import numbered
 from .plans import catalog
-from .plans.sync import perform_sync
+from .plans.sync import Held, merge_operations, perform_sync
 from .sources import sqlite, store
 from .streaming import maintained_last_operations
 
@@ -76,12 +75,8 @@ SHAPES = [
 FILES = ["client-a.sqlite", "client-b.sqlite", "client-c.sqlite.tmp", "client-me.sqlite", "notes.txt", "client-.sqlite", "client-x-y.sqlite"]
 
 
-def shapes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SHAPES, "table string, cid int, column string, type string, notnull int, pk int")
-
-
-def _keyed(rows: DataFrame, rank: int, op) -> DataFrame:
-    return rows.select(F.col("id").alias("key"), F.lit(rank).alias("rank"), op.alias("op"), F.col("updatedAt").alias("ts"))
+def _keyed(rows: DataFrame, rank: int, op, *more: str) -> DataFrame:
+    return rows.select(F.col("id").alias("key"), F.lit(rank).alias("rank"), op.alias("op"), F.col("updatedAt").alias("ts"), *more)
 
 
 def in_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +107,10 @@ def buried(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_converge(s: SparkSession, d: str) -> DataFrame:
     local, remote = parts(s, d, "local"), parts(s, d, "remote")
-    ops = remote.select(F.col("id").cast("bigint").alias("pos"), F.col("id").alias("recordId"), F.lit("INSERT").alias("operation"), F.struct(*remote.columns).alias("row"))
-    labels = unique.components(local, remote, [UNIQUE])
-    rows, _ = unique.fold(local, ops, labels, [UNIQUE])
-    rest = local.join(labels, F.col("id") == F.col("_key"), "left_anti")
-    plain = remote.join(labels, F.col("id") == F.col("_key"), "left_anti")
-    return rows.unionByName(lww.apply_insert(rest, plain).select(*local.columns))
+    ops = remote.select(F.lit(1).alias("rank"), F.col("id").cast("bigint").alias("pos"), F.col("id").alias("recordId"), F.lit("INSERT").alias("operation"), F.struct(*remote.columns).alias("row"))
+    merged = merge_operations(local, ops, TableConfig("part"), [UNIQUE], [], "id", Held())
+    touched = merged.change.rows.select("id").unionByName(merged.change.gone)
+    return local.join(touched, "id", "left_anti").unionByName(merged.change.rows)
 
 
 def q_resolved(s: SparkSession, d: str) -> DataFrame:
@@ -153,19 +146,22 @@ def _remotes(s: SparkSession, d: str) -> DataFrame:
 
 def q_gap(s: SparkSession, d: str) -> DataFrame:
     offsets = s.createDataFrame([(f"c{i}", v) for i, v in enumerate([0, 1, 3, 2, 9])] + [("gone", 4), ("new", 0)], "remote string, last_seen long")
-    return feed.gaps(_remotes(s, d), offsets)
+    return feed.gaps(feed.beginnings(_remotes(s, d)), offsets)
 
 
 def q_offset_default(s: SparkSession, d: str) -> DataFrame:
     state = s.createDataFrame([("c0", 12), ("c3", 7)], "remoteClientId string, lastSeenId long")
-    remotes = _remotes(s, d).select("remote").distinct()
-    return remotes.join(state, F.col("remote") == F.col("remoteClientId"), "left").select("remote", F.coalesce("lastSeenId", F.lit(0)).alias("last_seen"))
+    return feed.offsets(state, _remotes(s, d).select("remote").distinct())
 
 
 def q_listing(s: SparkSession, d: str) -> DataFrame:
-    names = s.createDataFrame([(f,) for f in FILES], "file string")
-    ids = names.select("file", F.regexp_extract("file", r"^client-(.+)\.sqlite$", 1).alias("client_id"))
-    return ids.where("client_id <> '' and client_id <> 'me'")
+    """Of a share with files of these names."""
+    share = store.Folder(s, scratch(s, "share"))
+    share.ensure()
+    for name in FILES:
+        share.put(name, "")
+    found = [(path.rsplit("/", 1)[1], client) for client, path in store.remotes(s, share.path, "me")]
+    return s.createDataFrame(found, "file string, client_id string")
 
 
 def q_heartbeat(s: SparkSession, d: str) -> DataFrame:
@@ -173,11 +169,28 @@ def q_heartbeat(s: SparkSession, d: str) -> DataFrame:
     return capture.heartbeat(held, "2024-01-31T12:00:00.000Z", HEARTBEAT_ID)
 
 
+def metas() -> dict[str, TableMeta]:
+    names = dict.fromkeys(x[0] for x in SHAPES)
+    return {n: TableMeta(tuple(ColumnInfo(*x[2:]) for x in SHAPES if x[0] == n)) for n in names}
+
+
+def q_discover(s: SparkSession, d: str) -> DataFrame:
+    told: list[str] = []
+    options = DiscoverOptions(table_options={"posts": TableOptions("modifiedAt")}, on_warning=told.append)
+    found = [(t.name, "synced") for t in catalog.discover_tables(metas(), options)]
+    return s.createDataFrame(found + [(t.split('"')[1], "no_timestamp") for t in told], "table string, status string")
+
+
 def q_validate(s: SparkSession, d: str) -> DataFrame:
-    has = lambda c: F.max((F.col("column") == c).cast("int"))
-    kind = F.max(F.when(F.col("column") == "id", F.upper("type")))
-    flags = shapes(s).groupBy("table").agg(has("id").alias("k"), kind.alias("kind"), has("updatedAt").alias("t"))
-    return flags.select("table", F.when(F.col("k") == 0, "no key").when(F.col("kind") != "TEXT", "key not text").when(F.col("t") == 0, "no timestamp").otherwise("ok").alias("verdict"))
+    errors = catalog.validate(metas(), [TableConfig(n) for n in [*metas(), "absent"]])
+    return s.createDataFrame([(e.table, e.message) for e in errors], "table string, message string")
+
+
+def q_hash(s: SparkSession, d: str) -> DataFrame:
+    """Of each table alone, and of all together."""
+    known = metas()
+    hashes = [(n, catalog.schema_hash(known, [TableConfig(n)])) for n in known]
+    return s.createDataFrame([*hashes, ("*", catalog.schema_hash(known, [TableConfig(n) for n in known]))], "table string, schema_hash string")
 
 
 def q_conflicts(s: SparkSession, d: str) -> DataFrame:
@@ -205,10 +218,13 @@ def q_tombstones(s: SparkSession, d: str) -> DataFrame:
 
 
 def q_nway(s: SparkSession, d: str) -> DataFrame:
-    rows = replica(s, d).withColumn("rank", F.lit(0))
-    for n in REMOTES:
-        rows = rows.unionByName(replica(s, d, n).withColumn("rank", F.lit(n)))
-    return lww.newest(rows)
+    """Four replicas' rows, the newest of each key."""
+    rows = None
+    for n in (0, *REMOTES):
+        r = replica(s, d, n)
+        one = _keyed(r.withColumn("row", F.struct(*r.columns)), n, F.lit("UPDATE" if n else "LOCAL"), "row")
+        rows = one if rows is None else rows.unionByName(one)
+    return lww.standing(lww.pull_in_turn(rows), ["row"]).select("row.*")
 
 
 def q_versions(s: SparkSession, d: str) -> DataFrame:
@@ -223,13 +239,10 @@ def q_full_merge(s: SparkSession, d: str) -> DataFrame:
 ORDERS = TableMeta((ColumnInfo("id", "TEXT", 0, 1), ColumnInfo("status"), ColumnInfo("price", "REAL"), ColumnInfo("updatedAt")))
 
 
-def _fresh(s: SparkSession, name: str) -> str:
-    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
-
-
-def _round(s: SparkSession, d: str, gap: bool) -> DataFrame:
-    """The local orders after one round with three remotes in the share."""
-    root, now = _fresh(s, "round"), datetime(1999, 1, 1)
+def _round(s: SparkSession, d: str, gap: bool, damaged: bool = False) -> DataFrame:
+    """The local orders after one round with three remotes in the share; or four, one of which has a feed that is cut short
+    and another one of which every file is overwritten."""
+    root, now = scratch(s, "round"), datetime(1999, 1, 1)
     local = store.create(s, f"{root}/local", {"orders": (replica(s, d), ORDERS)})
     store.set_up(local)
     if gap:
@@ -246,23 +259,40 @@ def _round(s: SparkSession, d: str, gap: bool) -> DataFrame:
             made = numbered(operations(s, d, n).select(F.lit("orders").alias("tableName"), "recordId", "operation", F.lit("1999-01-01 00:00:00").alias("changedAt")), ["recordId"], "id")
             remote.commit({CHANGELOG: made.select(*feed.COLUMNS)})
         remote.publish(f"{root}/share", f"r{n}")
+        if damaged and n == 1:
+            for client in ("bad-length", "bad-bytes"):
+                remote.publish(f"{root}/share", client)
+                _spoil(s, f"{root}/share/client-{client}", cut_short=client == "bad-length")
     config = SyncConfig(f"{root}/local", f"{root}/share", "local", now=lambda: now)
     result = perform_sync(local, config, [TableConfig("orders")])
-    if result.clients_synced != len(REMOTES) or result.had_changelog_gap != gap:
+    told = [w for w in result.warnings if "bad-" in w]
+    if result.clients_synced != len(REMOTES) or result.had_changelog_gap != gap or len(told) != 2 * damaged:
         raise RuntimeError(f"the round failed: {result.warnings[-1:]}")
     return local.table("orders")
 
 
+def _spoil(s: SparkSession, path: str, cut_short: bool) -> None:
+    """Damages a copy's feed: half of each file, or as many zeros."""
+    copy = store.Replica(s, path)
+    for layer in copy.version.tables[CHANGELOG]:
+        folder = store.Folder(s, f"{path}/data/{layer.name}")
+        for name, length in layer.files.items():
+            folder.drop(name)
+            stream = folder.fs.create(folder._path(folder.at(name)))
+            stream.write(bytearray(length // 2 if cut_short else length))
+            stream.close()
+
+
 def q_stream(s: SparkSession, d: str) -> DataFrame:
     """The feed as a stream of files, one a batch."""
-    root = _fresh(s, "stream")
+    root = scratch(s, "stream")
     events_feed(s, d).repartitionByRange(3, "id").write.parquet(f"{root}/feed")
     return maintained_last_operations(s, f"{root}/feed", f"{root}/state", f"{root}/checkpoint", 1)
 
 
 def q_sqlite(s: SparkSession, d: str) -> DataFrame:
     """Orders through a SQLite file and back."""
-    path = _fresh(s, "orders") + ".sqlite"
+    path = scratch(s, "orders") + ".sqlite"
     sqlite.write_file(path, {"orders": (replica(s, d), ORDERS)})
     return sqlite.read_table(s, path, "orders", rows=50_000)
 
@@ -270,6 +300,7 @@ def q_sqlite(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "perform_sync_normal": lambda s, d: _round(s, d, gap=False),
     "perform_sync_gap": lambda s, d: _round(s, d, gap=True),
+    "perform_sync_damaged": lambda s, d: _round(s, d, gap=False, damaged=True),
     "stream_feed_dedup": q_stream,
     "sqlite_roundtrip": q_sqlite,
     "feed_read_since": lambda s, d: feed.read_since(events_feed(s, d), 500),
@@ -303,13 +334,14 @@ QUERIES = {
     "nway_feed_apply_state": q_state,
     "nway_feed_apply_counters": lambda s, d: lww.pull_in_turn(in_turn(s, d)).where("rank > 0").groupBy("rank", "action").agg(F.count("*").alias("n")),
     "full_merge_table": q_full_merge,
-    "full_merge_fold": lambda s, d: tombstones.full_merge_in_turn(merge_history(s, d)).where("rank is not null"),
+    "full_merge_fold": lambda s, d: tombstones.full_merge_in_turn(merge_history(s, d)).where("rank is not null").select("key", "rank"),
+    "full_merge_outcomes": lambda s, d: tombstones.full_merge_in_turn(merge_history(s, d)).select("key", F.explode("outcomes").alias("x")).select("key", "x.rank", "x.action"),
     "tombstone_apply": q_tombstones,
     "unique_collision_pairs": lambda s, d: unique.collisions(parts(s, d, "local"), parts(s, d, "remote"), UNIQUE),
     "unique_convergence": q_converge,
     "heartbeat_upsert": q_heartbeat,
-    "schema_hash": lambda s, d: catalog.schema_hashes(shapes(s)),
-    "discover_tables": lambda s, d: catalog.discovery(shapes(s), timestamps={"posts": "modifiedAt"}),
+    "schema_hash": q_hash,
+    "discover_tables": q_discover,
     "validate_tables": q_validate,
     "version_gate": q_versions,
     "remote_listing": q_listing,
