@@ -14,6 +14,7 @@ from .model import DiscoverOptions, SyncConfig, SyncResult, SyncStatus
 from .plans.catalog import discover_tables, schema_hash, validate
 from .plans.sync import perform_sync
 from .plans.writes import set_version
+from .sources import sqlite
 from .sources.store import Replica, set_up
 
 EVENTS = ("sync:start", "sync:complete", "sync:error", "sync:conflict")
@@ -23,8 +24,8 @@ log = logging.getLogger(__name__)
 class SyncInstance:
     """What ``setup_sync`` returns. Listeners' errors are swallowed; one round runs at a time."""
 
-    def __init__(self, replica: Replica, config: SyncConfig, tables):
-        self.replica, self._config, self._tables = replica, config, tables
+    def __init__(self, replica: Replica, config: SyncConfig, tables, file: str | None = None):
+        self.replica, self._config, self._tables, self._file = replica, config, tables, file
         self._lock, self._stop, self._thread = threading.Lock(), threading.Event(), None
         self._last_at: datetime | None = None
         self._last: SyncResult | None = None
@@ -35,7 +36,7 @@ class SyncInstance:
             raise RuntimeError("Sync already in progress")
         try:
             self._emit("sync:start", None)
-            result = perform_sync(self.replica, self._config, self._tables)
+            result = self._round()
             self._last, self._last_at = result, datetime.now(UTC).replace(tzinfo=None)
             self._emit("sync:complete", result)
             return result
@@ -45,6 +46,15 @@ class SyncInstance:
         finally:
             self._lock.release()
 
+    def _round(self) -> SyncResult:
+        if not self._file:
+            return perform_sync(self.replica, self._config, self._tables)
+        names, key, now = self.get_synced_tables(), self._config.primary_key, self._config.now
+        sqlite.catch_up(self.replica, self._file, names, key, now() if now else None)
+        result = perform_sync(self.replica, self._config, self._tables)
+        sqlite.write_back(self.replica, self._file, names, key)
+        return result
+
     def start(self) -> None:
         """A round every ``interval_ms``; starting twice does nothing."""
         if self._thread:
@@ -82,8 +92,12 @@ class SyncInstance:
 
 
 def setup_sync(spark: SparkSession, config: SyncConfig) -> SyncInstance:
-    """Discovers and checks the tables, makes the system tables and settles the schema version."""
-    replica = Replica(spark, config.db_path)
+    """Discovers and checks the tables, makes the system tables and settles the schema version.
+
+    Where ``db_path`` is a SQLite file, a replica in the folder beside it follows the file, and rounds are written back to it.
+    """
+    file = config.db_path if config.db_path.endswith((".sqlite", ".db")) else None
+    replica = sqlite.import_file(spark, file, f"{file}.replica") if file else Replica(spark, config.db_path)
     tables = discover_tables(replica.metas, DiscoverOptions(config.primary_key, tuple(config.exclude_tables), config.table_options, config.on_discovery_warning))
     if not tables:
         raise ValueError(
@@ -97,4 +111,4 @@ def setup_sync(spark: SparkSession, config: SyncConfig) -> SyncInstance:
     set_up(replica)
     version = config.schema_version or schema_hash(replica.metas, tables)
     set_version(replica, version)
-    return SyncInstance(replica, replace(config, schema_version=version), tables)
+    return SyncInstance(replica, replace(config, schema_version=version), tables, file)
