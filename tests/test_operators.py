@@ -5,10 +5,13 @@ import random
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lwwspark.model import ColumnInfo, DiscoverOptions, TableConfig, TableMeta, TableOptions
-from lwwspark.operators import capture, feed, lww, tombstones, unique
+from lwwspark.operators import capture, components, feed, lww, tombstones, unique
 from lwwspark.operators.numbering import numbered
 from lwwspark.plans import catalog
+from lwwspark.plans.sync import Held, merge_operations
 
 ROW = "id string, name string, email string, updatedAt string"
 FEED = "id long, tableName string, recordId string, operation string, changedAt string"
@@ -17,7 +20,7 @@ FEED = "id long, tableName string, recordId string, operation string, changedAt
 def test_gap_rules(spark):
     feeds = spark.createDataFrame([("b", 2), ("c", 1), ("c", 2)], "remote string, id long")
     offsets = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("d", 5), ("e", None)], "remote string, last_seen long")
-    assert {r.remote: r.has_gap for r in feed.gaps(feeds, offsets).collect()} == {"a": False, "b": True, "c": False, "d": True, "e": False}
+    assert {r.remote: r.has_gap for r in feed.gaps(feed.beginnings(feeds), offsets).collect()} == {"a": False, "b": True, "c": False, "d": True, "e": False}
 
 
 def test_feed_reads_after_the_offset_and_empty_feeds(spark):
@@ -124,17 +127,19 @@ def test_components_fold_like_the_whole_table(spark, seed):
     ops = [(n, rng.choice(["INSERT", "UPDATE", "UPDATE", "DELETE"]), {"id": f"k{k}", "u": u(), "updatedAt": rng.choice("1234")}) for n, k in enumerate(rng.sample(range(18), 10))]
     schema = "id string, u int, updatedAt string"
     l = spark.createDataFrame([tuple(r[c] for c in META) for r in local], schema)
-    o = spark.createDataFrame([(n, r["id"], op, None if op == "DELETE" else tuple(r[c] for c in META)) for n, op, r in ops], f"pos long, recordId string, operation string, row struct<{schema.replace(' ', ':').replace(',:', ',')}>")
-    from lwwspark.plans.sync import merge_table
-
-    after, outcomes, failed = merge_table(l, o, TableConfig("t"), [("u",)], "id")
+    o = spark.createDataFrame([(1, n, r["id"], op, None if op == "DELETE" else tuple(r[c] for c in META)) for n, op, r in ops], f"rank int, pos long, recordId string, operation string, row struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+    merged = merge_operations(l, o, TableConfig("t"), [("u",)], [], "id", Held())
     expected, told = table_fold(local, ops)
     if expected is None:
-        assert failed == told
+        assert min(merged.failures)[:2] == (1, told)
         return
-    assert failed is None
-    assert {r.id: (r.u, r.updatedAt) for r in (l if after is None else after).collect()} == expected
-    assert sorted((r.pos, r.action) for r in outcomes.collect()) == told
+    assert not merged.failures
+    rows, gone = merged.change.rows.collect(), [r.id for r in merged.change.gone.collect()]
+    touched = [r.id for r in rows] + gone
+    assert len(touched) == len(set(touched)) and set(gone) <= {r["id"] for r in local}
+    after = {r["id"]: (r["u"], r["updatedAt"]) for r in local if r["id"] not in touched} | {r.id: (r.u, r.updatedAt) for r in rows}
+    assert after == expected
+    assert sorted((r.pos, r.action) for r in merged.outcomes.collect()) == told
 
 
 def test_tombstones_yield_to_rows_made_again_and_newer_rows(spark):
@@ -175,5 +180,38 @@ def test_discovery_and_validation():
 
 
 def test_newest_of_many_replicas_prefers_low_ranks_on_ties(spark):
-    df = spark.createDataFrame([("a", "x", None, 0), ("a", "y", "", 1), ("b", "x", "1", 0), ("b", "y", "2", 2), ("b", "z", "2", 1)], "id string, name string, updatedAt string, rank int")
-    assert {r.id: r.name for r in lww.newest(df).collect()} == {"a": "x", "b": "z"}
+    df = spark.createDataFrame([("a", "LOCAL", None, 0), ("a", "UPDATE", "", 1), ("b", "LOCAL", "1", 0), ("b", "UPDATE", "2", 2), ("b", "UPDATE", "2", 1)], "key string, op string, ts string, rank int")
+    assert {r.key: (r["rank"], r.was_held) for r in lww.standing(lww.pull_in_turn(df)).collect()} == {"a": (0, True), "b": (1, True)}
+
+
+def test_full_merges_tell_what_each_remote_did(spark):
+    rows = [("a", 0, "ROW", "2"), ("a", 1, "TOMBSTONE", "3"), ("a", 2, "ROW", "1"), ("a", 3, "ROW", "0"), ("b", 0, "ROW", "5"), ("b", 1, "TOMBSTONE", "5"), ("b", 2, "ROW", "6"), ("c", 2, "TOMBSTONE", "9")]
+    got = {r.key: (r["rank"], r.was_held, [tuple(x) for x in r.outcomes]) for r in tombstones.full_merge_in_turn(spark.createDataFrame(rows, "key string, rank int, kind string, ts string")).collect()}
+    assert got == {"a": (2, True, [(1, "deleted", "3"), (2, "inserted", "1"), (3, "skipped", "0")]), "b": (2, True, [(2, "updated", "6")]), "c": (None, False, [])}
+
+
+def test_of_rows_with_one_key_one_stands(spark):
+    new = rows(spark, ("b", "x", "", "2021"), ("b", "x", "", "2022"), ("c", "", "", "1"))
+    got = tombstones.replaced(rows(spark, ("a", "", "", "1"), ("b", "", "", "0")), new, ["id"])
+    assert sorted((r.id, r.updatedAt) for r in got.collect()) == [("a", "1"), ("b", "2022"), ("c", "1")]
+
+
+def test_a_long_chain_of_unique_values_is_one_component_in_few_rounds(spark, monkeypatch):
+    """10,000 pairs: local row i holds value i, the remote's row i holds value i + 1."""
+    cuts = []
+    of = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or of(df))
+    key = F.format_string("k%06d", "id").alias("id")
+    local = spark.range(10_000).select(key, F.col("id").alias("u"), F.lit("1").alias("updatedAt"))
+    remote = spark.range(10_000).select(key, (F.col("id") + 1).alias("u"), F.lit("2").alias("updatedAt"))
+    labels = unique.components(local, remote.repartition(7), [("u",)])
+    assert labels.count() == 10_000 and {r.component for r in labels.select("component").distinct().collect()} == {"k000000"}
+    assert len(cuts) <= 20
+    assert unique.components(local, local, [("u",)]).count() == 0
+
+
+def test_components_of_text_chains_stars_and_nothing(spark):
+    links = [(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("200", f"{i}") for i in range(201, 300)] + [("7", "7")]
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {**{f"{i:03}": "000" for i in range(1, 61)}, **{f"{i}": "200" for i in range(201, 300)}}
+    assert components.components(spark.createDataFrame([], "a string, b string")).count() == 0

@@ -1,12 +1,13 @@
 """Stores, SQLite files and streams."""
 
+import random
 import sqlite3
 
 import pytest
 
-from lwwspark.model import ColumnInfo, TableMeta
+from lwwspark.model import CHANGELOG, ColumnInfo, TableMeta
 from lwwspark.sources import sqlite, store
-from lwwspark.streaming import feed_stream, recent_activity, run_batches, running_last_operations
+from lwwspark.streaming import _segments, feed_stream, maintained_last_operations, recent_activity, run_batches, running_last_operations
 
 META = TableMeta((ColumnInfo("id", "TEXT", 0, 1), ColumnInfo("n", "INTEGER"), ColumnInfo("updatedAt", "TEXT", 1)), (("n",),))
 SCHEMA = "id string, n long, updatedAt string"
@@ -30,6 +31,66 @@ def test_versions_are_isolated_and_atomic(spark, tmp_path):
     assert sorted(x.id for x in store.Replica(spark, r.folder.path).table("t").collect()) == ["b", "d"]
 
 
+def by_key(r, name="t"):
+    return {x.id: (x.n, x.updatedAt) for x in r.table(name).collect()}
+
+
+def test_changes_are_layers_as_large_as_they_are(spark, tmp_path, monkeypatch):
+    """Against a plain dictionary, over folds of small layers and of changes into rows; files are counted."""
+    monkeypatch.setattr(store, "MANY_LAYERS", 3)
+    rng = random.Random(5)
+    state = {f"k{i}": (i, "x") for i in range(400)}
+    r = store.create(spark, f"{tmp_path}/r", {"t": (table(spark, *((k, *v) for k, v in state.items())), META)})
+    base, written = r.version.tables["t"][0], []
+    for step in range(14):
+        size = 60 if step == 9 else 3
+        put = {f"k{rng.randrange(450)}": (rng.randrange(1000) + 1000, str(step)) for _ in range(size)}
+        gone = {f"k{rng.randrange(450)}" for _ in range(2)} - set(put) if step % 2 else set()
+        before = {x.name for x in r.version.tables["t"]}
+        r.commit(changes={"t": store.Change(["id"], table(spark, *((k, *v) for k, v in put.items())), spark.createDataFrame([(k,) for k in gone], "id string"))})
+        state = {k: v for k, v in (state | put).items() if k not in gone}
+        assert by_key(r) == state and len(r.version.tables["t"]) <= 2 + store.MANY_LAYERS
+        written.append(sum(x.rows for x in r.version.tables["t"] if x.name not in before))
+        if step < 9:
+            assert r.version.tables["t"][0] == base
+    assert max(written[:9]) < 40 and sum(written[:9]) < 200  # never the table
+    assert by_key(store.Replica(spark, r.folder.path)) == state
+    r.publish(f"{tmp_path}/share", "a")
+    assert by_key(store.open_remote(spark, f"{tmp_path}/share/client-a")) == state
+    r.commit(changes={"t": store.Change(["id"], table(spark))})
+    assert by_key(r) == state
+
+
+def test_feeds_keep_few_layers_and_drop_whole_ones(spark, tmp_path):
+    r = store.Replica(spark, f"{tmp_path}/r")
+    entry = lambda i, day: (i, "t", str(i), "INSERT", f"2024-01-{day:02} 00:00:00")
+    feed = "id long, tableName string, recordId string, operation string, changedAt string"
+    for n in range(1, 41):
+        r.commit(appended={CHANGELOG: spark.createDataFrame([entry(n, (n + 1) // 2)], feed)})
+    assert len(r.version.tables[CHANGELOG]) <= store.MANY_LAYERS + 1 and r.feed_span() == (1, 40)
+    before = {x.name for x in r.version.tables[CHANGELOG]}
+    assert r.drop_expired("2024-01-11 00:00:00") == 20 and sorted(x.id for x in r.table(CHANGELOG).collect()) == list(range(21, 41)) and r.feed_span() == (21, 40)
+    assert len({x.name for x in r.version.tables[CHANGELOG]} - before) <= 1
+    assert r.drop_expired("2024-01-11 00:00:00") == 0 and r.drop_expired("2025") == 20 and r.table(CHANGELOG).count() == 0 and r.feed_span() is None
+
+
+def test_damage_shows_when_a_copy_is_opened_or_read(spark, tmp_path):
+    r = store.create(spark, f"{tmp_path}/r", {"t": (table(spark, *((f"k{i}", i, "x") for i in range(3000))).coalesce(1), META)})
+    for who in ("short", "bytes", "gone"):
+        r.publish(f"{tmp_path}/share", who)
+    at = {who: next(p for p in (tmp_path / f"share/client-{who}/data").glob("t-*/part-*")) for who in ("short", "bytes", "gone")}
+    at["gone"].unlink()
+    at["short"].write_bytes(at["short"].read_bytes()[:-100])
+    raw = bytearray(at["bytes"].read_bytes())
+    raw[len(raw) // 3] ^= 0xFF
+    at["bytes"].write_bytes(raw)
+    assert store.open_remote(spark, f"{tmp_path}/share/client-short") is None and store.open_remote(spark, f"{tmp_path}/share/client-gone") is None
+    (at["bytes"].parent / f".{at['bytes'].name}.crc").unlink()  # not what the file system remembers of its bytes: the pages' own sums
+    copy = store.open_remote(spark, f"{tmp_path}/share/client-bytes")
+    with pytest.raises(Exception, match="(?i)checksum|FAILED_READ_FILE"):
+        copy.table("t").collect()
+
+
 def test_listing_and_opening(spark, tmp_path):
     share = f"{tmp_path}/share"
     assert store.remotes(spark, share, "me") == []
@@ -65,6 +126,46 @@ def test_sqlite_files_go_both_ways(spark, tmp_path):
     assert store.open_remote(spark, f"{tmp_path}/out/client-y.sqlite").table("t").count() == 250
 
 
+def test_sqlite_tables_of_any_kind(spark, tmp_path):
+    """Sparse rowids, tables without rowids, expression and partial indexes, cascades."""
+    path = f"{tmp_path}/odd.sqlite"
+    with sqlite3.connect(path) as db:
+        db.execute("create table sparse (id integer primary key, v text)")
+        db.executemany("insert into sparse values (?, ?)", [(1, "a"), (1_700_000_000_000, "b"), (-5, "c")])
+        db.execute("create table plain (a text, b int, v text, primary key (a, b)) without rowid")
+        db.executemany("insert into plain values (?, ?, ?)", [(f"k{i % 3}", i, str(i)) for i in range(250)])
+        db.execute("create table refs (id text primary key, of int references sparse(id) on delete cascade, w text, x text, y text unique)")
+        db.execute("create unique index e on refs (lower(w))")
+        db.execute("create unique index p on refs (x) where x > 'm'")
+    db.close()
+    got = sqlite.read_table(spark, path, "sparse", rows=2)
+    assert got.rdd.getNumPartitions() == 2 and sorted(map(tuple, got.collect())) == [(-5, "c"), (1, "a"), (1_700_000_000_000, "b")]
+    got = sqlite.read_table(spark, path, "plain", rows=40)
+    assert got.rdd.getNumPartitions() == 7 and sorted(map(tuple, got.collect())) == sorted((f"k{i % 3}", i, str(i)) for i in range(250))
+    meta = sqlite.declared(path)["refs"]
+    assert meta.unique == (("y",),) and meta.cascades == (("of", "sparse"),)
+    with pytest.raises(ValueError, match="every executor"):
+        sqlite.local_path("hdfs://x/y.sqlite")
+
+
+def test_a_stream_can_be_run_again(spark, tmp_path):
+    """After each run, with news or without, the state is that of the whole feed; old state goes."""
+    from lwwspark.operators.feed import last_operations
+
+    feed, state, checkpoint = (f"{tmp_path}/{n}" for n in ("feed", "state", "cp"))
+    (tmp_path / "feed").mkdir()
+    schema = "id long, tableName string, recordId string, operation string, changedAt string"
+    assert maintained_last_operations(spark, feed, state, checkpoint).count() == 0
+    for n in range(6):
+        entries = [(n * 10 + i, "t", str((i + n) % 7), "UPDATE" if i % 3 else "DELETE", "2024") for i in range(10)]
+        if n != 3:
+            spark.createDataFrame(entries, schema).repartitionByRange(2, "id").write.mode("append").parquet(feed)
+        got = maintained_last_operations(spark, feed, state, checkpoint, files_per_batch=1)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, last_operations(spark.read.schema(schema).parquet(feed)).collect()))
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.isdigit()]) <= 6
+    assert [_segments(n) for n in (1, 2, 3, 4, 6)] == [[0], [1], [2, 1], [3], [5, 3]]
+
+
 def test_streams(spark, tmp_path):
     for n in range(3):
         entries = [(n * 10 + i, "t", str(i % 4), "UPDATE" if i % 3 else "DELETE", f"2024-01-0{n + 1} 00:00:00") for i in range(10)]
@@ -110,3 +211,29 @@ def test_setup_and_capture_of_writes(spark, tmp_path):
     set_version(r, "v1")
     set_version(r, "v2")
     assert store.Replica(spark, r.folder.path).schema_version() == "v2"
+
+
+def test_writes_keep_keys_unique_and_follow_references(spark, tmp_path):
+    from datetime import datetime
+
+    from lwwspark.model import CHANGELOG, TOMBSTONE
+    from lwwspark.plans.writes import write
+
+    now, text = datetime(2024, 7, 1), "id string, userId string, updatedAt string"
+    users = TableMeta((ColumnInfo("id", "TEXT", 0, 1), ColumnInfo("n", "INTEGER"), ColumnInfo("updatedAt", "TEXT", 1)))
+    notes = TableMeta((ColumnInfo("id", "TEXT", 0, 1), ColumnInfo("userId"), ColumnInfo("updatedAt", "TEXT", 1)), (), (("userId", "users"),))
+    marks = TableMeta(notes.columns, (), (("userId", "notes"),))
+    r = store.create(spark, f"{tmp_path}/r", {"users": (table(spark), users), "notes": (spark.createDataFrame([], text), notes), "marks": (spark.createDataFrame([], text), marks)})
+    store.set_up(r)
+    write(r, "users", table(spark, ("b", 1, "2021"), ("b", 1, "2022"), ("c", 1, "x")), now=now)
+    assert by_key(r, "users") == {"b": (1, "2022"), "c": (1, "x")}
+    assert sorted((x.recordId, x.operation) for x in r.table(CHANGELOG).collect()) == [("b", "INSERT"), ("b", "UPDATE"), ("c", "INSERT")]
+    with pytest.raises(ValueError, match="NOT NULL constraint failed: users.updatedAt"):
+        write(r, "users", table(spark, ("d", 1, None)), now=now)
+    write(r, "notes", spark.createDataFrame([("n1", "b", "1"), ("n2", "c", "1"), ("n3", "b", "1")], text), now=now)
+    write(r, "marks", spark.createDataFrame([("m1", "n1", "1"), ("m2", "n2", "1")], text), now=now)
+    write(r, "users", table(spark, ("e", 1, "x")), deletes=["b", "e"], now=now)
+    assert set(by_key(r, "users")) == {"c"} and [x.id for x in r.table("notes").collect()] == ["n2"] and [x.id for x in r.table("marks").collect()] == ["m2"]
+    gone = [(x.tableName, x.recordId) for x in r.table(CHANGELOG).where("operation = 'DELETE'").orderBy("id").collect()]
+    assert gone == [("marks", "m1"), ("notes", "n1"), ("notes", "n3"), ("users", "b"), ("users", "e")]
+    assert {(x.tableName, x.recordId) for x in r.table(TOMBSTONE).collect()} == set(gone)

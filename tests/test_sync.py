@@ -1,11 +1,15 @@
 """Rounds of two and three replicas over a shared directory."""
 
+import random
+import sqlite3
 from datetime import timedelta
 
 import pytest
 from conftest import NOW
 
-from lwwspark.model import CHANGELOG, HEARTBEAT, SYNC_STATE, TOMBSTONE, ColumnInfo, SyncConfig, TableMeta, TableOptions
+from lwwspark.model import CHANGELOG, HEARTBEAT, SYNC_STATE, TOMBSTONE, ColumnInfo, SyncConfig, SyncResult, TableMeta, TableOptions
+from lwwspark.plans import sync
+from lwwspark.plans.sync import Remote
 from lwwspark.plans.writes import write
 from lwwspark.session import setup_sync
 from lwwspark.sources.store import create
@@ -104,6 +108,105 @@ def test_a_damaged_copy_is_a_warning(pair, tmp_path):
     assert any("Failed to open remote database: bad" in w for w in r.warnings) and r.inserted == 1
 
 
+def test_a_remote_that_cannot_be_read_is_a_warning_of_its_own(spark, tmp_path, pair):
+    """Its feed is there and as long as it was, but its bytes are not its own; the others are merged."""
+    a, b = pair
+    c = Client(spark, tmp_path, "c")
+    for x, name in ((a, "Ann"), (c, "Cy")):
+        x.put((f"u-{name}", name, "2024-01-01"))
+        x.now()
+    for f in (tmp_path / "share/client-a/data").glob(f"{CHANGELOG}-*/*part-*"):
+        if f.name.endswith(".crc"):
+            f.unlink()
+        else:
+            f.write_bytes(bytes(f.stat().st_size))
+    r = b.now()
+    assert [w for w in r.warnings if "Sync failed for client a" in w] and len(r.warnings) == 1
+    assert (r.clients_synced, b.rows()) == (1, [("u-Cy", "Cy", "2024-01-01")])
+    a.put(("u-Ann", "Ann", "2024-02-01"))
+
+
+def test_conflicts_are_all_in_the_result(pair, monkeypatch):
+    monkeypatch.setattr("lwwspark.plans.sync.CONFLICT_LINES", 2)
+    a, b = pair
+    a.put(*((f"u{i}", "old", "2024-01-01") for i in range(5)))
+    b.put(*((f"u{i}", "new", "2024-06-01") for i in range(5)))
+    a.now()
+    r = b.now()
+    assert r.conflicts_resolved == 5 and r.warnings[-1] == "3 more conflicts" and len(r.warnings) == 3
+    assert sorted(tuple(x) for x in r.conflicts.collect()) == [("users", f"u{i}", "2024-06-01", "2024-01-01", "local_wins") for i in range(5)]
+
+
+def test_missing_values_take_the_remote_back(spark, tmp_path):
+    loose = TableMeta((ColumnInfo("id", "TEXT", 0, 1), ColumnInfo("name"), ColumnInfo("updatedAt", "TEXT", 1)))
+    a, b, c = Client(spark, tmp_path, "a", loose), Client(spark, tmp_path, "b"), Client(spark, tmp_path, "c")
+    a.put(("u1", None, "2024-01-01"), ("u2", "x", "2024-01-01"))
+    c.put(("u2", "y", "2023-01-01"))
+    for x in (a, c):
+        x.now()
+    r = b.now()
+    assert any("Sync failed for client a: NOT NULL constraint failed" in w for w in r.warnings)
+    assert b.rows() == [("u2", "y", "2023-01-01")] and r.clients_synced == 1 and [s[0] for s in b.rows(SYNC_STATE)] == ["c"]
+
+
+@pytest.mark.parametrize("full, seed", [(False, 3), (True, 1)])
+def test_one_pass_is_what_taking_remotes_in_turn_is(spark, tmp_path, full, seed):
+    """Random replicas with a unique column: tables, feeds, tombstones, offsets and counters, all remotes at once and one by one."""
+    rng = random.Random(seed)
+
+    def rows(n, ids):
+        values = rng.sample(range(14), n)
+        return [(k, f"c{v}" if rng.random() < 0.8 else f"own-{k}-{rng.randrange(99)}", f"2024-0{rng.randint(1, 9)}-01") for k, v in zip(rng.sample(ids, n), values, strict=True)]
+
+    ids = [f"k{i}" for i in range(16)]
+    remotes = []
+    for turn, name in enumerate(("x", "y", "z"), 1):
+        c = Client(spark, tmp_path, name, DECISIONS, "decisions")
+        c.put(*rows(8, ids))
+        c.drop(*rng.sample(ids, 4))
+        c.put(*[r for r in rows(3, ids) if r[1] not in {q[1] for q in c.rows()}])
+        remotes.append(Remote(turn, name, c.replica, 0))
+    start = rows(9, ids)
+    results = []
+    for way in ("once", "each"):
+        local = Client(spark, tmp_path, f"l-{way}", DECISIONS, "decisions")
+        local.put(*start)
+        result = SyncResult(had_changelog_gap=full)
+        for some in [remotes] if way == "once" else [[r] for r in remotes]:
+            sync.pull(local.replica, some, local.sync._tables, local.sync._config, NOW, result)
+        feed = [(e.tableName, e.recordId, e.operation) for e in local.replica.table(CHANGELOG).orderBy("id").collect()]
+        counts = [getattr(result, f) for f in ("clients_synced", "inserted", "updated", "deleted", "skipped", "conflicts_resolved")] + [sorted(result.warnings)]
+        results.append((local.rows(), local.rows(TOMBSTONE), local.rows(SYNC_STATE), feed, counts))
+    assert results[0] == results[1]
+
+
+def test_sqlite_files_as_replicas_and_copies(spark, tmp_path):
+    """Two clients live in SQLite files, of which one publishes such files too; what their applications write travels."""
+    made = "create table users (id text primary key, name text not null, updatedAt text not null); create table _own (x); create index byName on users (name)"
+    syncs = {}
+    for who, form in (("a", "sqlite"), ("b", "parquet")):
+        with sqlite3.connect(f"{tmp_path}/{who}.sqlite") as db:
+            db.executescript(made)
+        db.close()
+        syncs[who] = setup_sync(spark, SyncConfig(f"{tmp_path}/{who}.sqlite", f"{tmp_path}/share", who, now=lambda: NOW, publish_as=form))
+
+    def sql(who, statement):
+        with sqlite3.connect(f"{tmp_path}/{who}.sqlite") as db:
+            got = db.execute(statement).fetchall()
+        db.close()
+        return got
+
+    sql("a", "insert into users values ('u1', 'Ann', '2024-01-01'), ('u2', 'Bea', '2024-01-01')")
+    assert syncs["a"].sync_now().clients_synced == 0 and (tmp_path / "share/client-a.sqlite").exists()
+    assert syncs["b"].sync_now().inserted == 2 and sql("b", "select * from users order by id") == [("u1", "Ann", "2024-01-01"), ("u2", "Bea", "2024-01-01")]
+    sql("b", "update users set name = 'Anna', updatedAt = '2024-02-01' where id = 'u1'")
+    sql("b", "delete from users where id = 'u2'")
+    syncs["b"].sync_now()
+    r = syncs["a"].sync_now()
+    assert (r.updated, r.deleted, sql("a", "select * from users")) == (1, 1, [("u1", "Anna", "2024-02-01")])
+    assert sql("a", "select name from sqlite_master where type = 'index' and name = 'byName'") and sql("a", "select count(*) from _own") == [(0,)]
+
+
 def gap_after_delete(a, b):
     a.put(("u1", "Ann", "2024-01-01"), ("u2", "Bea", "2024-01-01"))
     a.now()
