@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, stars
 from .common import cut
-from .components import components, stars
 
 THRESHOLD, PASSES, BITS, WINDOW, TILE, SEED = 0.98, 10, 32, 256, 256, 20_240
 _PLANES: dict[int, np.ndarray] = {}

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
+from ..operators.components import components
 from .common import by_small_batches, cut, fresh
-from .components import components
 
 SEED, WORDS, RADIUS = 42, 3, 3
 _BLOCK = 1 << 16

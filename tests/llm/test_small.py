@@ -15,7 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lwwspark.llm import chat, components, embed_dedup, language, mixing, pieces, quality, simhash, token_scan, top_k, url_rules
+from lwwspark.llm import chat, embed_dedup, language, mixing, pieces, quality, simhash, token_scan, top_k, url_rules
+from lwwspark.operators import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 40_000
@@ -80,6 +81,18 @@ def test_chat_digests_and_empty_log(spark):
     assert chat.read_back(chat.format_conversations(log.where("false"))).count() == 0
 
 
+def test_chat_with_clashing_columns_long_texts_ties_and_repeats(spark):
+    long = "x# </ \\" * 400_000
+    rows = [(1, 0, "user", "q"), (1, 0, "user", "q"), (1, 0, "assistant", "a"), (1, None, "user", "first"), (2, 5, "assistant", long), (None, 1, None, None), (3, 1, "", "")]
+    plain = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    clash = plain.withColumns({c: F.lit("clash") for c in ("seq", "kind", "message", "open", "last", "of", "part", "formatted", "loss_starts")})
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(clash)).collect()}
+    told = lambda turns: hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    assert got[1].turns_sha256 == told([("user", "first"), ("assistant", "a"), ("user", "q"), ("user", "q")]) and got[1].n_turns == 4
+    assert (got[2].loss_chars, got[2].turns_sha256) == (len(long), told([("assistant", long)]))
+    assert got[None].turns_sha256 == got[3].turns_sha256 == told([("", "")]) and len(got) == 4
+
+
 # quality
 
 

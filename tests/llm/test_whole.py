@@ -7,10 +7,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_small import partition, slow_fingerprint
 
 import corpus_pipeline
-from lwwspark.llm import language, mixing, pieces, quality
+from lwwspark.llm import language, mixing, pieces, quality, simhash
 from lwwspark.llm.queries import QUERIES
 from lwwspark.llm.sql import ORACLE_SQL
 
@@ -129,3 +130,28 @@ def test_pipeline_stage_by_stage(spark, texts, tmp_path):
             assert after.columns == docs.columns
         docs = after
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
+
+
+CLASHES = ("score", "fp", "x", "id", "order", "kept_id", "kept_rank", "identified", "quality_score", "mix_id", "rate")
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, null ids, a very long text, other columns with clashing names; then empty tables."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 150").withColumns({c: F.lit("clash") for c in CLASHES})
+    odd = [(900, None), (901, ""), (902, " \n"), (903, "12 34"), (None, "The and attion to thanedble the."), (None, None), (904, "The and of to the anea. " * 20_000)]
+    more = spark.createDataFrame(odd, "doc_id long, text string")
+    for c in docs.columns[2:]:
+        more = more.withColumn(c, F.lit(None).cast(docs.schema[c].dataType))
+    whole = docs.unionByName(more).unionByName(docs.where("doc_id < 9"))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where("doc_id < 150")
+    for name, (d, l) in {"odd": (whole, labels), "none": (whole.where("false"), labels.where("false"))}.items():
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        l.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    ids = {r.doc_id for r in got}
+    assert len(got) > 80 and not ids & {900, 901, 902, 903} and ids <= {*range(150), 904, None}
+    assert all(r.n_tokens == len(r.ids) == len(r.ends) for r in got)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    kept = spark.read.parquet(f"{tmp_path}/none/documents.parquet")
+    for stage in (lambda d: quality.keep_good(d, labels.where("false")), simhash.keep_one_of_each, language.keep_identified):
+        assert stage(kept).columns == kept.columns and stage(kept).count() == 0
