@@ -110,6 +110,33 @@ ORACLE_SQL = {
         select f.key, e.rank, case when e.kind = 'TOMBSTONE' then 'deleted' when p.held is null then 'inserted' when f.held = e.rank then 'updated' else 'skipped' end as action
         from f join e on e.key = f.key and e.n = f.n left join f p on p.key = f.key and p.n = f.n - 1
         where e.rank > 0 and (e.kind = 'ROW' or (p.held is not null and f.held is null))""",
+    "round_counters": _turns() + """
+        select 3 as clients_synced, count(*) filter (where action = 'inserted') as inserted, count(*) filter (where action = 'updated') as updated,
+          count(*) filter (where action = 'deleted') as deleted, count(*) filter (where action = 'skipped') as skipped, count(*) filter (where action = 'upserted') as conflicts_resolved
+        from a where rank > 0""",
+    "round_conflicts": _turns() + """
+        select 'orders' as "table", e.key as record_id, p.held_ts as local_updated_at, e.ts as remote_updated_at, case when e.ts > p.held_ts then 'remote_wins' else 'local_wins' end as resolution
+        from e join f p on p.key = e.key and p.n = e.n - 1 where p.held is not null and (e.op = 'INSERT' or (e.op = 'UPDATE' and e.ts <> p.held_ts))""",
+    "round_feed": _turns() + """
+        select key as recordId, case action when 'deleted' then 'DELETE' when 'inserted' then 'INSERT' else 'UPDATE' end as operation, '1999-01-01 00:00:00' as changedAt
+        from a where rank > 0 and (action in ('deleted', 'inserted') or (action in ('updated', 'upserted') and held = rank))""",
+    "round_tombstones": _turns() + "select distinct 'orders' as tableName, key as recordId, '1999-01-01 00:00:00' as deletedAt from a where action = 'deleted'",
+    "round_offsets": " union all ".join(f"select 'r{n}' as remoteClientId, count(*) as lastSeenId, '1999-01-01 00:00:00' as lastSyncedAt from {_ops(n)}" for n in REMOTES),
+    "write_capture": f"""
+        with w as (
+          select 0 as turn, id as recordId, case when id in (select id from {_L}) then 'UPDATE' else 'INSERT' end as operation from {_R}
+          union all select 1, recordId, 'DELETE' from {_DELETED} where recordId in (select id from {_L} union select id from {_R}))
+        select row_number() over (order by turn, recordId) as id, 'orders' as tableName, recordId, operation, '1999-01-01 00:00:00' as changedAt from w""",
+    "heartbeat_feed": f"""
+        select id, '_heartbeat' as tableName, '{HEARTBEAT_ID}' as recordId, case when id = 1 then 'INSERT' else 'UPDATE' end as operation, made as changedAt, '2024-01-04T12:00:00.000Z' as held
+        from (values (1, '2024-01-01 00:00:00'), (2, '2024-01-02 05:00:00'), (3, '2024-01-04 01:00:00')) v(id, made)""",
+    "skipped_remotes": "select client_id, remote_version, 'v2' as local_version from (values ('a', 'v1'), ('c', null)) v(client_id, remote_version)",
+    "sqlite_catalog": f"""select case "table" when 'cache' then 'ca"che' when 'sqlite_sequence' then 'other_sequence' else "table" end as "table", cid, "column", type, "notnull", pk from {_SHAPES}""",
+    "snapshot_isolation": f"""
+        select *, 'reader' as side from {_L} union all select *, 'writer' from {_R} where cast(id as bigint) % 10 = 0
+        union all select *, 'writer' from {_L} where cast(id as bigint) % 10 <> 1 and id not in (select id from {_R} where cast(id as bigint) % 10 = 0)""",
+    "session_events": """
+        select * from (values (0, 'last None'), (1, 'sync:start'), (2, 'hook'), (3, 'sync:complete'), (4, 'running True'), (5, 'running False'), (6, 'syncing False'), (7, 'orders')) v(n, told)""",
     "stream_feed_dedup": f"select tableName, recordId, arg_max(operation, id) as operation, min(id) as pos from {_FEED} group by 1, 2",
     "sqlite_roundtrip": f"select * from {_L}",
     "feed_read_since": f"select * from {_FEED} where id > 500",

@@ -8,12 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import CHANGELOG, HEARTBEAT_ID, SYNC_STATE, TOMBSTONE, ColumnInfo, DiscoverOptions, SyncConfig, TableConfig, TableMeta, TableOptions
+from .model import CHANGELOG, HEARTBEAT, HEARTBEAT_ID, SYNC_STATE, TOMBSTONE, ColumnInfo, DiscoverOptions, SyncConfig, SyncResult, TableConfig, TableMeta, TableOptions
 from .operators import capture, feed, lww, tombstones, unique
 from .operators.lineage import scratch
 from .operators.numbering import numbered
 from .plans import catalog
 from .plans.sync import Held, merge_operations, perform_sync
+from .plans.writes import beat, set_version, write
+from .session import EVENTS, setup_sync
 from .sources import sqlite, store
 from .streaming import maintained_last_operations
 
@@ -240,8 +242,24 @@ ORDERS = TableMeta((ColumnInfo("id", "TEXT", 0, 1), ColumnInfo("status"), Column
 
 
 def _round(s: SparkSession, d: str, gap: bool, damaged: bool = False) -> DataFrame:
-    """The local orders after one round with three remotes in the share; or four, one of which has a feed that is cut short
-    and another one of which every file is overwritten."""
+    """The local orders after one round."""
+    return _after_round(s, d, gap, damaged)[0].table("orders")
+
+
+_ROUNDS: dict[tuple, tuple[store.Replica, SyncResult]] = {}
+
+
+def _known(s: SparkSession, d: str) -> tuple[store.Replica, SyncResult]:
+    """One round for all queries that ask what it left behind."""
+    key = s.sparkContext.applicationId, d
+    if key not in _ROUNDS:
+        _ROUNDS[key] = _after_round(s, d, False, False)
+    return _ROUNDS[key]
+
+
+def _after_round(s: SparkSession, d: str, gap: bool, damaged: bool) -> tuple[store.Replica, SyncResult]:
+    """A replica and the round's result, with three remotes in the share; or five, of which one has a feed that is cut short
+    and another one's feed has all its bytes overwritten."""
     root, now = scratch(s, "round"), datetime(1999, 1, 1)
     local = store.create(s, f"{root}/local", {"orders": (replica(s, d), ORDERS)})
     store.set_up(local)
@@ -268,7 +286,7 @@ def _round(s: SparkSession, d: str, gap: bool, damaged: bool = False) -> DataFra
     told = [w for w in result.warnings if "bad-" in w]
     if result.clients_synced != len(REMOTES) or result.had_changelog_gap != gap or len(told) != 2 * damaged:
         raise RuntimeError(f"the round failed: {result.warnings[-1:]}")
-    return local.table("orders")
+    return local, result
 
 
 def _spoil(s: SparkSession, path: str, cut_short: bool) -> None:
@@ -283,6 +301,84 @@ def _spoil(s: SparkSession, path: str, cut_short: bool) -> None:
             stream.close()
 
 
+def q_counters(s: SparkSession, d: str) -> DataFrame:
+    r = _known(s, d)[1]
+    names = ("clients_synced", "inserted", "updated", "deleted", "skipped", "conflicts_resolved")
+    return s.createDataFrame([tuple(getattr(r, n) for n in names)], ", ".join(f"{n} long" for n in names))
+
+
+def q_writes(s: SparkSession, d: str) -> DataFrame:
+    """The feed that writing remote 1's rows, then deleting what its feed deletes, makes in the local replica."""
+    r = store.create(s, scratch(s, "writes"), {"orders": (replica(s, d), ORDERS)})
+    store.set_up(r)
+    write(r, "orders", replica(s, d, 1), operations(s, d, 1).where("operation = 'DELETE'").select("recordId"), datetime(1999, 1, 1))
+    return r.table(CHANGELOG)
+
+
+def q_beats(s: SparkSession, d: str) -> DataFrame:
+    """What five beats on three days leave in the feed, the last of them in the past."""
+    r = store.Replica(s, scratch(s, "beats"))
+    store.set_up(r)
+    for day, hour in ((1, 0), (1, 23), (2, 5), (4, 1), (3, 1)):
+        beat(r, datetime(2024, 1, day, hour))
+    return r.table(CHANGELOG).withColumn("held", F.lit(r.table(HEARTBEAT).first()["updatedAt"]))
+
+
+def q_skipped(s: SparkSession, d: str) -> DataFrame:
+    """Remotes with another schema version or none, passed over in a round."""
+    root = scratch(s, "skipped")
+    tables = {"orders": (replica(s, d).limit(0), ORDERS)}
+    for name, version in (("a", "v1"), ("b", "v2"), ("c", None)):
+        r = store.create(s, f"{root}/{name}", tables)
+        store.set_up(r)
+        for v in ("v0", version) if version else ():  # the later one holds
+            set_version(r, v)
+        r.publish(f"{root}/share", name)
+    local = store.create(s, f"{root}/local", tables)
+    store.set_up(local)
+    result = perform_sync(local, SyncConfig(f"{root}/local", f"{root}/share", "me", schema_version="v2"), [TableConfig("orders")])
+    return s.createDataFrame([(x.client_id, x.remote_version, x.local_version) for x in result.skipped_remotes], "client_id string, remote_version string, local_version string")
+
+
+def q_catalog(s: SparkSession, d: str) -> DataFrame:
+    """Columns as a SQLite file declares them, of tables with odd names too; some are read in place, some from a copy."""
+    path = scratch(s, "catalog") + ".sqlite"
+    odd = {n.replace("cache", 'ca"che').replace("sqlite_", "other_"): m for n, m in metas().items()}
+    sqlite.write_file(path, {n: (s.range(0).select(*(F.lit(None).cast("string").alias(c) for c in m.names)), m) for n, m in odd.items()})
+    rows = []
+    for n, copied in ((0, False), (1, True)):
+        opened = sqlite.as_replica(s, path, copied)
+        found = sorted(opened.metas.items())
+        rows += [(t, i, c.name, c.type, c.notnull, c.pk) for t, m in found[n::2] for i, c in enumerate(m.columns)]
+        opened.cleanup()
+    return s.createDataFrame(rows, "table string, cid int, column string, type string, notnull int, pk int")
+
+
+def q_versions_held(s: SparkSession, d: str) -> DataFrame:
+    """A reader keeps the version that it opened while a writer goes on; both sides' rows."""
+    path = scratch(s, "held")
+    store.create(s, path, {"orders": (replica(s, d), ORDERS)})
+    reader, writer = store.Replica(s, path), store.Replica(s, path)
+    writer.commit(changes={"orders": store.Change(["id"], replica(s, d, 1).where("cast(id as bigint) % 10 = 0"), replica(s, d).where("cast(id as bigint) % 10 = 1").select("id"))})
+    return reader.table("orders").withColumn("side", F.lit("reader")).unionByName(writer.table("orders").withColumn("side", F.lit("writer")))
+
+
+def q_events(s: SparkSession, d: str) -> DataFrame:
+    """What a session tells: events in order around its hook, its tables, its status after a round and while on a timer."""
+    root, seen = scratch(s, "events"), []
+    store.create(s, f"{root}/a", {"orders": (replica(s, d).limit(3), ORDERS)})
+    sync = setup_sync(s, SyncConfig(f"{root}/a", f"{root}/share", "a", interval_ms=3_600_000, on_after_sync=lambda r, x: seen.append("hook")))
+    for event in EVENTS:
+        sync.on(event, lambda _, e=event: seen.append(e))
+    seen.append(f"last {sync.get_status().last_result}")
+    sync.sync_now()
+    sync.start()
+    seen.append(f"running {sync.get_status().is_running}")
+    sync.stop()
+    seen += [f"running {sync.get_status().is_running}", f"syncing {sync.get_status().is_syncing}", *sync.get_synced_tables()]
+    return s.createDataFrame(list(enumerate(seen)), "n int, told string")
+
+
 def q_stream(s: SparkSession, d: str) -> DataFrame:
     """The feed as a stream of files, one a batch."""
     root = scratch(s, "stream")
@@ -301,6 +397,17 @@ QUERIES = {
     "perform_sync_normal": lambda s, d: _round(s, d, gap=False),
     "perform_sync_gap": lambda s, d: _round(s, d, gap=True),
     "perform_sync_damaged": lambda s, d: _round(s, d, gap=False, damaged=True),
+    "round_counters": q_counters,
+    "round_conflicts": lambda s, d: _known(s, d)[1].conflicts,
+    "round_feed": lambda s, d: _known(s, d)[0].table(CHANGELOG).where("tableName = 'orders'").select("recordId", "operation", "changedAt"),
+    "round_tombstones": lambda s, d: _known(s, d)[0].table(TOMBSTONE),
+    "round_offsets": lambda s, d: _known(s, d)[0].table(SYNC_STATE),
+    "write_capture": q_writes,
+    "heartbeat_feed": q_beats,
+    "skipped_remotes": q_skipped,
+    "sqlite_catalog": q_catalog,
+    "snapshot_isolation": q_versions_held,
+    "session_events": q_events,
     "stream_feed_dedup": q_stream,
     "sqlite_roundtrip": q_sqlite,
     "feed_read_since": lambda s, d: feed.read_since(events_feed(s, d), 500),
