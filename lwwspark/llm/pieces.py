@@ -2,8 +2,8 @@
 
 A text is normalised by the longest prefixes of the model's compiled character map (a double-array trie; where the map
 is empty, characters stay as they are), and every normalised byte keeps the place of the source byte it came from. The
-normalised text is cut where no piece can reach across, cuts are merged (best score first, leftmost on ties), and the ids
-of those met lately are looked up. The pieces tile the normalised text; their bounds are projected through the
+normalised text is cut where no piece can reach across. Cuts met lately are looked up; the others of many texts are merged
+together (best score first, leftmost on ties), by the library where it would not normalise them again, else here. The pieces tile the normalised text; their bounds are projected through the
 alignment, so every piece has its span of source bytes.
 
 The vocabulary is only read. ``model`` is a path that executors can open, or None for the public 32k piece model that is
@@ -19,6 +19,8 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import by_small_batches
 
 SPACE = "▁"
-CUTS, LONGEST_KEPT = 250_000, 256
+#: Cuts of a generation that are kept, the longest of them, and characters of texts that are encoded together.
+CUTS, LONGEST_KEPT, TOGETHER = 250_000, 256, 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types
 
 
@@ -162,7 +165,7 @@ class Model:
 class Encoder:
     """Encodes texts; the ids of cuts are kept in two generations, so that cuts met once go and common ones stay."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model, library: sentencepiece.SentencePieceProcessor | None = None):
         if not any(t == BYTE for _, _, t in model.pieces) or any(t in (USER_DEFINED, UNUSED) for _, _, t in model.pieces):
             raise ValueError("only models with byte pieces, and without user-defined or unused ones, are supported")
         self.model = model
@@ -180,6 +183,8 @@ class Encoder:
         self.cut = re.compile(r"(?s).+" if reach else f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+" + ("|\n" if line else ""))
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        # The library puts a space before a text; it leaves all else as it is if the model has no map and doesn't trim.
+        self.library = library if model.dummy_prefix and model.escape and not model.trim and not model.charsmap.units else None
 
     def merge(self, cut: str) -> list[str]:
         """Best pair first, leftmost on ties, until none is a piece."""
@@ -221,32 +226,61 @@ class Encoder:
             offer(a, right[a])
         return [x for x in s if x is not None]
 
-    def learn(self, cut: str) -> bytes:
-        if (known := self.old.get(cut)) is None:
-            ids = []
-            for s in self.merge(cut):
-                k = self.id.get(s)
-                ids += [k] if k is not None else [self.byte[b] for b in s.encode()]
-            known = struct.pack(f"={len(ids)}i", *ids)
-        if len(cut) <= LONGEST_KEPT:
-            self.new[cut] = known
-        return known
-
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ids, starts and ends in source bytes; the last is the end id, with an empty span."""
-        norm, align = self.model.normalise(text)
+    def ids_of(self, cut: str) -> list[int]:
+        """By merging here."""
+        ids = []
+        for s in self.merge(cut):
+            k = self.id.get(s)
+            ids += [k] if k is not None else [self.byte[b] for b in s.encode()]
+        return ids
+
+    def learn(self, cuts: list[str]) -> dict[str, bytes]:
+        """Ids, 32 bits each, of cuts that aren't among the newer ones; those of usual length are kept."""
+        out = {c: v for c in cuts if (v := self.old.get(c)) is not None}
+        left = [c for c in cuts if c not in out]
+        plain = [c for c in left if len(c) > 1 and c[0] == SPACE] if self.library else []
+        if plain:
+            for c, ids in zip(plain, self.library.encode([c[1:].replace(SPACE, " ") for c in plain], num_threads=1), strict=True):
+                out[c] = array("i", ids).tobytes()
+        for c in left:
+            if c not in out:
+                out[c] = array("i", self.ids_of(c)).tobytes()
+        self.new.update((c, v) for c, v in out.items() if len(c) <= LONGEST_KEPT)
+        return out
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: ids, starts and ends in source bytes; the last is the end id, with an empty span."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self._encoded(held)
+                held, size = [], 0
+        yield from self._encoded(held)
+
+    def _encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         if len(self.new) > CUTS:
             self.old, self.new = self.new, {}
-        cuts = self.cut.findall(norm)
-        got = list(map(self.new.get, cuts))
-        if None in got:
-            learn = self.learn
-            got = [learn(c) if v is None else v for v, c in zip(got, cuts, strict=True)]
-        ids = np.frombuffer(b"".join(got) + struct.pack("=i", self.end), np.int32)
-        # The pieces tile the normalised text.
-        width = self.width[ids]
-        end = np.cumsum(width)
-        return ids, align[end - width], align[end]
+        found = []
+        for text in texts:
+            norm, align = self.model.normalise(text)
+            cuts = self.cut.findall(norm)
+            found.append((align, cuts, list(map(self.new.get, cuts))))
+        unknown = dict.fromkeys(c for _, cuts, got in found if None in got for c, v in zip(cuts, got, strict=True) if v is None)
+        learnt = self.learn(list(unknown)) if unknown else {}
+        end_id = array("i", [self.end]).tobytes()
+        for align, cuts, got in found:
+            if None in got:
+                got = [learnt[c] if v is None else v for v, c in zip(got, cuts, strict=True)]
+            ids = np.frombuffer(b"".join(got) + end_id, np.int32)
+            # The pieces tile the normalised text.
+            width = self.width[ids]
+            end = np.cumsum(width)
+            yield ids, align[end - width], align[end]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return next(self._encoded([text]))
 
 
 _KEPT: dict[str, tuple] = {}
@@ -257,7 +291,8 @@ def tools(model: str | None):
     if (path := model or public_model()) not in _KEPT:
         with open(path, "rb") as f:
             data = f.read()
-        _KEPT[path] = Encoder(Model.read(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
+        library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        _KEPT[path] = Encoder(Model.read(data), library), library
     return _KEPT[path]
 
 
@@ -267,7 +302,7 @@ def encode_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     @F.arrow_udf("ids array<int>, starts array<int>, ends array<int>, decoded string")
     def run(batch: pa.Array) -> pa.Array:
         encoder, decoder = tools(model)
-        got = [encoder.encode(t or "") for t in batch.to_pylist()]
+        got = list(encoder.encode_many(t.as_py() or "" for t in batch))
         lists = [pa.array([x[i] for x in got], pa.list_(pa.int32())) for i in range(3)]
         return pa.StructArray.from_arrays([*lists, pa.array([decoder.decode(x[0].tolist()) for x in got], pa.string())], ["ids", "starts", "ends", "decoded"])
 
@@ -287,11 +322,10 @@ def piece_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
         encoder, decoder = tools(model)
         decimals = [str(i) for i in range(len(encoder.model.pieces))]
         rows = []
-        for t in batch:
-            array, starts, ends = encoder.encode(t.as_py() or "")
-            ids = array.tolist()
+        for array_, starts, ends in encoder.encode_many(t.as_py() or "" for t in batch):
+            ids = array_.tolist()
             digest = hashlib.sha256(" ".join(map(decimals.__getitem__, ids)).encode()).hexdigest()
-            rows.append((len(ids), digest, hashlib.sha256(decoder.decode(ids).encode()).hexdigest(), int((ends - starts).sum()), ends, array))
+            rows.append((len(ids), digest, hashlib.sha256(decoder.decode(ids).encode()).hexdigest(), int((ends - starts).sum()), ends, array_))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.StructArray.from_arrays([pa.array(list(c), k) for c, k, _ in zip(columns, kinds, names, strict=False)], names)

@@ -338,6 +338,17 @@ def test_encoding_is_the_librarys(text):
     assert starts[0] == 0 and (starts[1:] == ends[:-1]).all() and ends[-1] == len(text.encode())
 
 
+@given(st.lists(st.text(alphabet="ab \n\u2581é#1", max_size=30), max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_many_texts_are_encoded_alike_here_and_by_the_library(texts):
+    kept, library = pieces.tools(None)
+    here = pieces.Encoder(kept.model)  # merges all cuts itself
+    both = pieces.Encoder(kept.model, library)
+    for got in (list(here.encode_many(texts)), list(both.encode_many(texts)), list(both.encode_many(texts))):
+        assert [x[0].tolist() for x in got] == [library.encode(t, add_eos=True) for t in texts]
+        assert [int(x[2][-1]) for x in got] == [len(t.encode()) for t in texts]
+
+
 def test_spans_point_at_the_source(spark):
     text = "Grüße,  Welt\n日本 x"
     row = pieces.encode_documents(docs(spark, [(1, text)])).collect()[0]
