@@ -31,7 +31,7 @@ from ..sources.store import Folder
 from .common import by_small_batches, cut, remove, scratch
 
 SEPARATOR = 50_256
-BLOCK_TOKENS, FILE_BYTES = 1 << 18, 1 << 25
+BLOCK_TOKENS, FILE_BYTES = 1 << 17, 1 << 25
 #: Characters of an id's record: its place, a blank, and the id's UTF-8 in hexadecimal digits, or a hyphen for none.
 _RECORD = b"0123456789abcdef -"
 _KEPT: dict[str, object] = {}
