@@ -39,7 +39,7 @@ from .common import by_small_batches, fold_of, fresh
 SAMPLE_PIECES, PIECE, LANGUAGES = 128, 250, 2000
 SEGMENT = 256
 #: States that a batch's walk keeps at a time.
-HELD = 1 << 24
+HELD = 1 << 22
 
 
 def learn_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", pieces: int = SAMPLE_PIECES, piece: int = PIECE) -> dict[str, str]:
@@ -188,9 +188,12 @@ class CrossParser:
 
     def _step(self, state: np.ndarray, code: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(states after a character, whether a phrase ended before it). ``fresh``: the states if one did."""
-        at = self.base[state] + code
-        ended = self.owner[at] != state
-        return np.where(ended, fresh, self.target[at]), ended
+        at = self.base.take(state)
+        at += code
+        ended = self.owner.take(at) != state
+        go = self.target.take(at)
+        np.copyto(go, fresh, where=ended)
+        return go, ended
 
     def _walk(self, codes, start, size, goes_on, carry) -> tuple[np.ndarray, np.ndarray]:
         """(phrases that end inside each segment, by language; the states at the last one's end).
@@ -201,16 +204,16 @@ class CrossParser:
         from_, long = start[order], size[order]
         alive = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right")
         state = self.begin[:, codes[from_]]
-        trace = np.empty((long[0], *state.shape), state.dtype)  # ~state where a phrase ended
+        trace = np.empty((long[0], *state.shape), state.dtype)
+        breaks = np.zeros(trace.shape, bool)  # where a phrase ended before the character
         trace[0] = state
-        ended = np.zeros(state.shape, np.int64)
         for t in range(1, long[0]):
             n = alive[t]
             code = codes[from_[:n] + t]
-            go, new = self._step(state[:, :n], code, self.begin[:, code])
-            ended[:, :n] += new
-            state[:, :n] = go
-            trace[t, :, :n] = np.where(new, ~go, go)
+            go, new = self._step(state[:, :n], code, self.begin.take(code, axis=1))
+            state[:, :n] = trace[t, :, :n] = go
+            breaks[t, :, :n] = new
+        ended = breaks.sum(axis=0, dtype=np.int64)
         lane = np.empty(len(order), np.int64)  # a segment's place in the trace
         lane[order] = np.arange(len(order))
         alone = state[:, lane]  # the states at the ends of segments that are walked from their own beginnings
@@ -225,9 +228,8 @@ class CrossParser:
             while len(s):
                 code = codes[start[s] + t]
                 go, new = self._step(now, code, self.begin[l, code])
-                before = trace[t, l, lane[s]]
-                gained[place] += new.astype(np.int64) - (before < 0)
-                apart = go != np.where(before < 0, ~before, before)
+                gained[place] += new.astype(np.int64) - breaks[t, l, lane[s]]
+                apart = go != trace[t, l, lane[s]]
                 done = ~apart | (size[s] == t + 1)
                 end = np.where(apart, go, alone[l, s])
                 differs = done & (ends[l, s] != end)  # the next segment begins in another state
