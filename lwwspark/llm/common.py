@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut, forget, remove, scratch, shared_dir
 
-BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+BATCH_ROWS, BATCH_BYTES = 1000, "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
