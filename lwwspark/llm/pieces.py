@@ -33,7 +33,7 @@ from .common import by_small_batches
 
 SPACE = "▁"
 #: Cuts of a generation that are kept, the longest of them, and characters of texts that are encoded together.
-CUTS, LONGEST_KEPT, TOGETHER = 250_000, 256, 1 << 20
+CUTS, LONGEST_KEPT, TOGETHER = 125_000, 256, 1 << 20
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types
 
 
