@@ -61,11 +61,12 @@ def close_pairs(nodes: DataFrame) -> DataFrame:
     halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), low.alias("key")), F.struct(F.lit(1).alias("half"), high.alias("key"))))
     rows = nodes.select("fp", halves.alias("at")).select("fp", "at.half", "at.key")
     bits = F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.col("key").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)) != 0)
-    # Position -1 stands for the half itself.
+    # Position -1 stands for the half itself. Probes are some 34 a fingerprint, but Spark's estimate leaves out what explode
+    # adds and would broadcast them through the driver: so the join is told to shuffle and sort.
     steps = F.explode(F.concat(F.array(F.lit(-1)), bits))
     probes = rows.select("fp", "half", "key", steps.alias("bit")).select(
         F.col("fp").alias("a"), "half", F.when(F.col("bit") < 0, F.col("key")).otherwise(F.col("key") - F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("key"), (F.col("bit") < 0).alias("same")
-    )
+    ).hint("merge")
     shelf = rows.select(F.col("fp").alias("b"), "half", "key")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS
     met = probes.join(shelf, (probes.half == shelf.half) & (probes.key == shelf.key) & near & (~F.col("same") | (F.col("a") < F.col("b"))))

@@ -247,6 +247,15 @@ def test_close_pairs_are_all_found_once_or_more(spark):
     assert {n: roots.get(n, n) for n in seen} == partition(seen, expected)
 
 
+def test_probes_are_not_broadcast(spark, tmp_path):
+    """A table's file may be far below the bound for broadcasts, and its probes far above."""
+    spark.range(20_000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/prints")
+    prints = spark.read.parquet(f"{tmp_path}/prints")
+    pairs = simhash.close_pairs(prints.unionByName(prints.where("fp % 1000 = 0").selectExpr("fp ^ 5 as fp")).distinct())
+    assert {frozenset(r) for r in pairs.collect()} == {frozenset((r.fp, r.fp ^ 5)) for r in prints.where("fp % 1000 = 0").collect()}
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 300)] + [(7, 7), (500, 499), (499, 500)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
