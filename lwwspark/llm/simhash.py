@@ -80,7 +80,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     roots = components(close_pairs(nodes.select("fp")))
     tied = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("component", "fp").alias("root"))
     ids = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(tied.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "root", "component_id")
+    # Told to shuffle and sort as well: the documents' file may be far below its rows.
+    return prints.hint("merge").join(tied.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def shown(result: DataFrame) -> DataFrame:
@@ -92,6 +93,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, that with the smallest id; rows without an id stay. Columns stay."""
     keep, rank = fresh(docs, "kept_id"), fresh(docs, "kept_rank")
     ids = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
-    kept = docs.join(ids, docs.doc_id == ids[keep])
-    once = kept.withColumn(rank, F.row_number().over(Window.partitionBy(keep).orderBy(keep))).where(F.col(rank) == 1)
-    return once.drop(keep, rank).unionByName(docs.where("doc_id is null"))
+    # Of a semi join only the right side, the ids, may be broadcast.
+    kept = docs.join(ids, docs.doc_id == ids[keep], "left_semi")
+    once = kept.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(rank) == 1)
+    return once.drop(rank).unionByName(docs.where("doc_id is null"))

@@ -32,6 +32,23 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+def broadcast_rows(spark, after):
+    """Rows of each broadcast in the queries numbered above ``after``, and the highest number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, found, last = spark._jsparkSession.sharedState().statusStore(), [], after
+    runs = store.executionsList()
+    for number in [runs.apply(i).executionId() for i in range(runs.size())]:
+        last = max(last, number)
+        if number <= after:
+            continue
+        nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
+        for node in [nodes.apply(i) for i in range(nodes.size())]:
+            for m in [node.metrics().apply(i) for i in range(node.metrics().size())] if node.name() == "BroadcastExchange" else []:
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    found.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return found, last
+
+
 # chat
 
 
@@ -256,6 +273,19 @@ def test_probes_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_documents_are_not_broadcast(spark, tmp_path):
+    """Many equal texts make a small file."""
+    spark.range(3000).selectExpr("id as doc_id", "repeat('many words here ', 100) as text").write.parquet(f"{tmp_path}/documents")
+    d = spark.read.parquet(f"{tmp_path}/documents")
+    _, last = broadcast_rows(spark, -1)
+    assert sorted(map(tuple, simhash.near_duplicates(d).select("doc_id", "component_id").collect())) == [(i, 0) for i in range(3000)]
+    rows, last = broadcast_rows(spark, last)
+    assert max(rows, default=0) <= 1
+    assert [r.doc_id for r in simhash.keep_one_of_each(d).collect()] == [0]
+    rows, last = broadcast_rows(spark, last)
+    assert max(rows, default=0) <= 1
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 300)] + [(7, 7), (500, 499), (499, 500)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

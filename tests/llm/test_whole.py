@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_small import partition, slow_fingerprint
+from test_small import broadcast_rows, partition, slow_fingerprint
 
 import corpus_pipeline
 from lwwspark.llm import language, mixing, pieces, quality, simhash
@@ -132,23 +132,6 @@ def test_pipeline_stage_by_stage(spark, texts, tmp_path):
     assert corpus_pipeline.run(spark, DATA).count() == docs.count()
 
 
-def broadcast_rows(spark, after):
-    """Rows of each broadcast in the queries numbered above ``after``, and the highest number."""
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    store, found, last = spark._jsparkSession.sharedState().statusStore(), [], after
-    runs = store.executionsList()
-    for number in [runs.apply(i).executionId() for i in range(runs.size())]:
-        last = max(last, number)
-        if number <= after:
-            continue
-        nodes, values = store.planGraph(number).allNodes(), store.executionMetrics(number)
-        for node in [nodes.apply(i) for i in range(nodes.size())]:
-            for m in [node.metrics().apply(i) for i in range(node.metrics().size())] if node.name() == "BroadcastExchange" else []:
-                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
-                    found.append(int(values.apply(m.accumulatorId()).replace(",", "")))
-    return found, last
-
-
 def test_pipeline_broadcasts_no_more_rows_than_documents(spark, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     n = docs.count()
